@@ -11,6 +11,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,28 +120,35 @@ def _route_regions(splits: Splits, blocks: list[int], metric: str):
     return route
 
 
-def _search_leaf(radius: float, reach: float, metric: str):
-    def search(key, rows: pd.DataFrame) -> pd.DataFrame:
-        _, _, block_a, block_b = key
-        sites, regions = rows[rows.region.isna()], rows[rows.region.notna()]
-        found = []
+def _search_leaf(reach: float, metric: str):
+    # Arrow tables, since pandas would turn the ids of a column with nulls into floats.
+    def search(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        block_a, block_b = key[2].as_py(), key[3].as_py()
+        is_region = pc.is_valid(rows.column("region"))
+        sites, regions = rows.filter(pc.invert(is_region)), rows.filter(is_region)
+        kinds, first, second = [], [], []
+
+        def add(kind: str, a: np.ndarray, b: np.ndarray) -> None:
+            kinds.append(np.full(len(a), kind))
+            first.append(a)
+            second.append(b)
+
         if len(sites):
-            site, party = sites.site.to_numpy(dtype=np.int64), sites.party.to_numpy(dtype=np.int64)
-            home, part = sites.home.to_numpy(dtype=bool), sites.part.to_numpy(dtype=np.int64)
-            x, y = sites.x.to_numpy(dtype=float), sites.y.to_numpy(dtype=float)
+            site, party, home, part, x, y = (sites.column(c).to_numpy() for c in ("site", "party", "home", "part", "x", "y"))
             for i, j in close_pairs(to_vectors(x, y, metric), reach):
-                first = np.where(site[i] < site[j], i, j)
-                keep = home[first] & (party[i] != party[j])
+                keep = home[np.where(site[i] < site[j], i, j)] & (party[i] != party[j])
                 if block_a != block_b:
                     keep &= part[i] != part[j]
-                found.append(pd.DataFrame({"kind": "near", "a": np.minimum(site[i], site[j])[keep], "b": np.maximum(site[i], site[j])[keep]}))
+                i, j = i[keep], j[keep]
+                add("near", np.minimum(site[i], site[j]), np.maximum(site[i], site[j]))
             if block_a == block_b and len(regions):
                 at_home = np.flatnonzero(home)
                 swept = SweptPoints(x[at_home], y[at_home])
-                for region, boundary in zip(regions.region, regions.boundary):
-                    within = at_home[swept.inside(read_edges(boundary))]
-                    found.append(pd.DataFrame({"kind": "inside", "a": int(region), "b": site[within]}))
-        return pd.concat(found) if found else pd.DataFrame({"kind": pd.Series(dtype=str), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+                for region, boundary in zip(regions.column("region").to_pylist(), regions.column("boundary").to_pylist()):
+                    within = site[at_home[swept.inside(read_edges(boundary))]]
+                    add("inside", np.full(len(within), region), within)
+        columns = [np.concatenate(c) if c else [] for c in (kinds, first, second)]
+        return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["kind", "a", "b"])
 
     return search
 
@@ -168,7 +177,7 @@ def near_and_inside(
         .filter("space is not null and region is not null and boundary is not null")
         .mapInPandas(_route_regions(splits, blocks, metric), _ROUTED)
     )
-    return routed.groupBy("space", "leaf", "block_a", "block_b").applyInPandas(_search_leaf(radius, reach, metric), "kind string, a long, b long")
+    return routed.groupBy("space", "leaf", "block_a", "block_b").applyInArrow(_search_leaf(reach, metric), "kind string, a long, b long")
 
 
 def near_operations(operations: DataFrame, tables: DataFrame, zones: DataFrame, radius: float = 5.0, **options) -> DataFrame:
