@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,16 +37,26 @@ def _bucket(key: Column) -> Column:
 
 
 def _as_literal(entries: DataFrame) -> Column:
-    """(key, value) rows as one array of maps, the map of a key at the place of its hash; a scalar subquery, computed once for a query."""
-    maps = entries.groupBy(_bucket(F.col("key")).alias("bucket")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("part"))
+    """(key, value) rows as one array of maps, the map of a key at the place of its hash.
+
+    Expressions with lambdas take no subquery, so the value goes through a session variable, whose value a query takes in when it is built.
+    """
+    kind = dict(entries.dtypes)
+    maps = entries.groupBy(_bucket(F.col("key")).alias("bucket")).agg(F.collect_list(F.struct("key", "value")).alias("part"))
     places = entries.sparkSession.range(_BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(maps, "bucket", "left")
-    ordered = places.agg(F.array_sort(F.collect_list(F.struct("bucket", F.map_entries("part").alias("entries")))).alias("all"))
-    return ordered.select(F.transform("all", lambda b: F.map_from_entries(F.coalesce(b["entries"], F.array().cast(entries_type(entries))))).alias("maps")).scalar()
+    ordered = places.agg(F.array_sort(F.collect_list(F.struct("bucket", "part"))).alias("all"))
+    empty = F.array().cast(f"array<struct<key:{kind['key']},value:{kind['value']}>>")
+    return _variable(ordered.select(F.transform("all", lambda b: F.map_from_entries(F.coalesce(b["part"], empty))).alias("value")))
 
 
-def entries_type(entries: DataFrame) -> str:
-    kinds = dict(entries.dtypes)
-    return f"array<struct<key:{kinds['key']},value:{kinds['value']}>>"
+def _variable(row: DataFrame) -> Column:
+    """The only value of `row` as a literal."""
+    spark, name = row.sparkSession, f"verdigris_{uuid.uuid4().hex}"
+    row.createOrReplaceTempView(name)
+    spark.sql(f"DECLARE VARIABLE {name} {row.schema['value'].dataType.simpleString()}")
+    spark.sql(f"SET VARIABLE {name} = (SELECT value FROM {name})")
+    spark.catalog.dropTempView(name)
+    return F.expr(f"system.session.{name}")
 
 
 def _lookup(literal: Column, key: Column) -> Column:
@@ -116,7 +127,7 @@ def frequent_words(documents: DataFrame, ranks: Column, words: int = DICTIONARY_
     """(key, value): the most frequent words of the corpus with their ids; ties go to the smaller word."""
     counted = documents.select(F.explode(_words(F.col("text"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     chosen = counted.filter(F.octet_length("key") <= DICTIONARY_WORD_BYTES).orderBy(F.desc("n"), "key").limit(words)
-    return chosen.select("key", encode_word(F.col("key"), ranks).alias("value"))
+    return chosen.select("key", _let(ranks, lambda r: encode_word(F.col("key"), r)).alias("value"))
 
 
 def encode_documents(documents: DataFrame, folder: str = VOCABULARIES, name: str = VOCABULARY, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
@@ -127,7 +138,8 @@ def encode_documents(documents: DataFrame, folder: str = VOCABULARIES, name: str
     documents = documents.select("doc_id", "text")
     ranks = rank_map(documents.sparkSession, folder, name)
     known = _as_literal(frequent_words(documents, ranks, dictionary_words))
-    ids = F.flatten(F.transform(_words(F.col("text")), lambda w: F.coalesce(_lookup(known, w), encode_word(w, ranks))))
+    words = _words(F.col("text"))
+    ids = _let(known, lambda k: _let(ranks, lambda r: F.flatten(F.transform(words, lambda w: F.coalesce(_lookup(k, w), encode_word(w, r))))))
     return documents.select("doc_id", ids.alias("ids"))
 
 
@@ -137,6 +149,7 @@ def decode_documents(encoded: DataFrame, folder: str = VOCABULARIES, name: str =
     ranked = spark.createDataFrame(read_ranks(folder, name), "piece string, rank int")
     pieces = ranked.agg(F.array_sort(F.collect_list(F.struct("rank", "piece"))).alias("all"))
     # Ranks are 0, 1, 2 and so on, so a piece is found by its place.
-    in_order = pieces.select(F.transform("all", lambda p: p["piece"]).alias("pieces")).scalar()
-    joined = F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.get(in_order, i)), "")
+    in_order = _variable(pieces.select(F.transform("all", lambda p: p["piece"]).alias("value")))
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    joined = _let(in_order, lambda known: F.array_join(F.transform(ids, lambda i: F.get(known, i)), ""))
     return encoded.select("doc_id", F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8").alias("text"))
