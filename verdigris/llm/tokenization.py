@@ -20,7 +20,7 @@ VOCABULARY = "byte_bpe_50k"
 #: Fixed value: the pattern that cuts texts into words before any merge, with Unicode white space.
 WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the dictionary, and the longest word that may be in it; together they bound its size.
-DICTIONARY_WORDS = 20_000
+DICTIONARY_WORDS = 65_536
 DICTIONARY_WORD_BYTES = 64
 _BUCKETS = 8192
 _NO_RANK = (1 << 31) - 1
