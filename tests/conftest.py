@@ -13,7 +13,7 @@ def spark():
     from verdigris.session import build_session
 
     session = build_session(
-        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}
+        "tests", "local[2]", **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "1", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -43,6 +43,7 @@ def deduplicated_changes(adds: DataFrame, deletes: DataFrame, lineage: DataFrame
     adds(objectid, sde_state_id, edit_seq), deletes(sde_deletes_row_id, sde_state_id, deleted_at). Rows of state 0 among the adds are the base.
     Null object ids and states name nothing and are left out; a null edit_seq counts as 0.
     """
+    adds, deletes = adds.select("objectid", "sde_state_id", "edit_seq"), deletes.select("sde_deletes_row_id", "sde_state_id", "deleted_at")
     within = F.col("state") == F.col("sde_state_id")
     marked = lineage.select("state")
     images = (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, StateTree, state_set
-from verdigris.operators.versioned import of_states, surviving_adds, version_signatures
+from verdigris.operators.versioned import not_of_states, of_states, surviving_adds, version_signatures
 
 
 class CompactionRefused(RuntimeError):
@@ -94,8 +94,8 @@ def graduate_table(table: FeatureTable, prefix: DataFrame) -> Graduation:
     deleted = table.base.join(gone, F.col("objectid") == F.col("__gone"), "left_semi").select("objectid")
     kept = table.base.join(ids.union(gone), F.col("objectid") == F.col("__won"), "left_anti")
     base = kept.select(*columns).unionByName(winners)
-    adds = table.adds.join(prefix, F.col("sde_state_id") == F.col("state"), "left_anti")
-    deletes = table.deletes.join(prefix, F.col("sde_state_id") == F.col("state"), "left_anti").join(prefix, F.col("deleted_at") == F.col("state"), "left_anti")
+    adds = not_of_states(table.adds, "sde_state_id", prefix)
+    deletes = not_of_states(not_of_states(table.deletes, "sde_state_id", prefix), "deleted_at", prefix)
     return Graduation(replace(table, base=base, adds=adds, deletes=deletes), winners, deleted)
 
 
@@ -104,7 +104,7 @@ def prune(fabric: Fabric, states: set[int]) -> Fabric:
     gone = state_set(fabric.spark, states)
 
     def without(rows: DataFrame, column: str) -> DataFrame:
-        return rows.join(gone, F.col(column) == F.col("state"), "left_anti")
+        return not_of_states(rows, column, gone)
 
     tables = {n: replace(t, adds=without(t.adds, "sde_state_id"), deletes=without(without(t.deletes, "sde_state_id"), "deleted_at")) for n, t in fabric.tables.items()}
     return replace(
@@ -140,18 +140,17 @@ def collapse_table(table: FeatureTable, plan: DataFrame) -> FeatureTable:
     Of the states that share an anchor only the latest that touches an object, by an add or a marker, keeps its rows of the object. deleted_at is mapped
     by itself; markers of the root state are no touch. Of a hot object at most one row per state is compared, all combined before the shuffle.
     """
-    runs = plan.unionByName(plan.select(F.col("anchor").alias("state"), "anchor").distinct())
-    adds = table.adds.join(runs, F.col("sde_state_id") == F.col("state"), "left").drop("state")
-    deletes = table.deletes.join(runs, (F.col("sde_state_id") == F.col("state")) & (F.col("sde_state_id") != ROOT), "left").drop("state")
-    touched = adds.filter("anchor is not null").select("objectid", "anchor", "sde_state_id").unionByName(
-        deletes.filter("anchor is not null").select(F.col("sde_deletes_row_id").alias("objectid"), "anchor", "sde_state_id")
+    runs = plan.unionByName(plan.select(F.col("anchor").alias("state"), "anchor").distinct()).select(F.col("state").alias("__member"), F.col("anchor").alias("__run"))
+    adds = table.adds.join(runs, F.col("sde_state_id") == F.col("__member"), "left")
+    deletes = table.deletes.join(runs, (F.col("sde_state_id") == F.col("__member")) & (F.col("sde_state_id") != ROOT), "left")
+    touched = adds.filter("__run is not null").select(F.col("objectid").alias("__oid"), F.col("__run").alias("__anchor"), "sde_state_id").unionByName(
+        deletes.filter("__run is not null").select(F.col("sde_deletes_row_id").alias("__oid"), F.col("__run").alias("__anchor"), "sde_state_id")
     )
-    last = touched.groupBy(F.col("objectid").alias("__oid"), F.col("anchor").alias("__anchor")).agg(F.max("sde_state_id").alias("__last"))
+    last = touched.groupBy("__oid", "__anchor").agg(F.max("sde_state_id").alias("__last"))
 
     def latest(rows: DataFrame, key: str) -> DataFrame:
-        joined = rows.join(last, (F.col(key) == F.col("__oid")) & (F.col("anchor") == F.col("__anchor")), "left")
-        kept = joined.filter("anchor is null or sde_state_id = __last").withColumn("sde_state_id", F.coalesce("anchor", "sde_state_id"))
-        return kept.drop("__oid", "__anchor", "__last", "anchor")
+        joined = rows.join(last, (F.col(key) == F.col("__oid")) & (F.col("__run") == F.col("__anchor")), "left")
+        return joined.filter("__run is null or sde_state_id = __last").withColumn("sde_state_id", F.coalesce("__run", "sde_state_id"))
 
     mapped = plan.select(F.col("state").alias("__from"), F.col("anchor").alias("__to"))
     deletes = latest(deletes, "sde_deletes_row_id").join(mapped, F.col("deleted_at") == F.col("__from"), "left")

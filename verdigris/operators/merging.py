@@ -282,14 +282,17 @@ def external_references(fabric: Fabric, owner: str, name: str, states: list[int]
 
 def _without_own(rows: DataFrame, key: str, ids: DataFrame, states: DataFrame) -> DataFrame:
     """The rows that are not both of the objects (__oid) and of the states."""
-    marked = rows.join(ids, F.col(key) == F.col("__oid"), "left").join(states, F.col("sde_state_id") == F.col("state"), "left")
-    return marked.filter("__oid is null or state is null").select(*rows.columns)
+    own = states.select(F.col("state").alias("__member"))
+    marked = rows.join(ids, F.col(key) == F.col("__oid"), "left").join(own, F.col("sde_state_id") == F.col("__member"), "left")
+    return marked.filter("__oid is null or __member is null").select(*rows.columns)
 
 
 def revert(fabric: Fabric, name: str, features: list[tuple[str, int]]) -> tuple[Fabric, int]:
     """Removes the version's own deltas of the given (table, objectid); refused if others hold its states. Counts the features given."""
     tree, child, _, ancestor = ranges(fabric, name)
     version, own = fabric.find_version(name), tree.states_in_range(child, ancestor)
+    if not own:
+        return fabric, 0
     if not external_references(fabric, version.owner, version["name"], own).isEmpty():
         raise StateSharedError(name)
     spark = fabric.spark

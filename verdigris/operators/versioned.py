@@ -10,7 +10,12 @@ from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, StateTree, st
 
 def of_states(rows: DataFrame, column: str, states: DataFrame) -> DataFrame:
     """The rows whose `column` is among `states` (state)."""
-    return rows.join(states, F.col(column) == F.col("state"), "left_semi")
+    return rows.join(states.select(F.col("state").alias("__member")), F.col(column) == F.col("__member"), "left_semi")
+
+
+def not_of_states(rows: DataFrame, column: str, states: DataFrame) -> DataFrame:
+    """The other rows, those with a null among them."""
+    return rows.join(states.select(F.col("state").alias("__member")), F.col(column) == F.col("__member"), "left_anti")
 
 
 def newest_adds(table: FeatureTable, states: DataFrame) -> DataFrame:
@@ -115,15 +120,16 @@ def lineage_pairs(spark: SparkSession, tree: StateTree, tips: list[int]) -> Data
 
 
 def all_version_deltas(table: FeatureTable, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For all tips in one job: the surviving adds with their tip, and (tip, objectid) of the hidden base rows."""
-    added = table.adds.join(pairs, F.col("sde_state_id") == F.col("state")).drop("state")
+    """For all tips in one job: the surviving adds with their __tip, and (__tip, objectid) of the hidden base rows."""
+    pairs = pairs.select(F.col("tip").alias("__tip"), F.col("state").alias("__member"))
+    added = table.adds.join(pairs, F.col("sde_state_id") == F.col("__member"))
     row = F.struct(*[F.col(c) for c in table.columns])
-    newest = added.groupBy("tip", "objectid").agg(F.max("sde_state_id").alias("__state"), F.max_by(row, "sde_state_id").alias("__row"))
-    gone = table.deletes.join(pairs, F.col("sde_state_id") == F.col("state")).groupBy("tip", F.col("sde_deletes_row_id").alias("objectid")).agg(F.max("sde_state_id").alias("__gone"))
-    kept = newest.join(gone, ["tip", "objectid"], "left").filter("__gone is null or __gone <= __state")
-    shown = kept.select("tip", *[F.col(f"__row.`{c}`").alias(c) for c in table.columns])
-    marked = table.deletes.join(pairs, F.col("deleted_at") == F.col("state")).select("tip", F.col("sde_deletes_row_id").alias("objectid"))
-    return shown, added.select("tip", "objectid").unionByName(marked).distinct()
+    newest = added.groupBy("__tip", "objectid").agg(F.max("sde_state_id").alias("__state"), F.max_by(row, "sde_state_id").alias("__row"))
+    gone = table.deletes.join(pairs, F.col("sde_state_id") == F.col("__member")).groupBy("__tip", F.col("sde_deletes_row_id").alias("objectid")).agg(F.max("sde_state_id").alias("__gone"))
+    kept = newest.join(gone, ["__tip", "objectid"], "left").filter("__gone is null or __gone <= __state")
+    shown = kept.select("__tip", *[F.col(f"__row.`{c}`").alias(c) for c in table.columns])
+    marked = table.deletes.join(pairs, F.col("deleted_at") == F.col("__member")).select("__tip", F.col("sde_deletes_row_id").alias("objectid"))
+    return shown, added.select("__tip", "objectid").unionByName(marked).distinct()
 
 
 def row_signature(columns: list[str]) -> Column:
@@ -148,10 +154,10 @@ def version_signatures(fabric: Fabric, table: str, measures: dict[str, Column] |
         parts = [F.lit(sign).cast("long").alias("n_rows"), *[(sign * m).alias(k) for k, m in measures.items()]]
         return rows.select(*keys, *parts).groupBy(*keys).agg(*[F.sum(k).alias(k) for k in ("n_rows", *measures)])
 
-    plus = sums(shown, ["tip"], 1)
-    minus = sums(hidden.join(source.base, "objectid"), ["tip"], -1)
+    plus = sums(shown, ["__tip"], 1)
+    minus = sums(hidden.join(source.base, "objectid"), ["__tip"], -1)
     base = sums(source.base, [], 1)
-    deltas = plus.unionByName(minus).groupBy("tip").agg(*[F.sum(k).alias(f"d_{k}") for k in ("n_rows", *measures)])
+    deltas = plus.unionByName(minus).groupBy(F.col("__tip").alias("tip")).agg(*[F.sum(k).alias(f"d_{k}") for k in ("n_rows", *measures)])
     total = base.first()
     kinds = dict(base.dtypes)
     joined = versions.join(deltas, "tip", "left")
