@@ -168,9 +168,9 @@ def random_forest(seed, n=120):
     return parents
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 1000), (2, 40), (3, 4), (4, 40)])
-def test_resolve(spark, seed, block):
-    parents = random_forest(seed)
+@pytest.mark.parametrize(("seed", "n", "block"), [(1, 120, 1000), (2, 60, 40), (3, 40, 5)])
+def test_resolve(spark, seed, n, block):
+    parents = random_forest(seed, n)
     links = spark.createDataFrame(list(parents.items()), "node long, parent long")
     got = resolve(links, block_nodes=block).collect()
     assert {r.node: (r.kind, r.end_id, r.depth) for r in got} == {n: chain_end(parents, n) for n in parents} and len(got) == len(parents)

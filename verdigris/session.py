@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +43,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so that a lost executor costs no recomputation of what led to it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` as a table in the shared checkpoint folder and read it back.
+
+    A lost executor then costs no recomputation of what led to it. Unlike a checkpoint the table is computed once, its size is known to the planner,
+    and no constraints of the old plan pile up over the rounds of a loop. The folder goes with the application.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    for spark, folder in _written:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session is gone; its cluster clears the folder
+            return
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
