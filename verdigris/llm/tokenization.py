@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.session import shuffle_partitions
+
 #: Folder of the vocabulary files.
 VOCABULARIES = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -127,6 +129,8 @@ def frequent_words(documents: DataFrame, ranks: Column, words: int = DICTIONARY_
     """(key, value): the most frequent words of the corpus with their ids; ties go to the smaller word."""
     counted = documents.select(F.explode(_words(F.col("text"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     chosen = counted.filter(F.octet_length("key") <= DICTIONARY_WORD_BYTES).orderBy(F.desc("n"), "key").limit(words)
+    # The limit leaves one partition; the folds are spread again.
+    chosen = chosen.repartition(shuffle_partitions(documents.sparkSession), "key")
     return chosen.select("key", _let(ranks, lambda r: encode_word(F.col("key"), r)).alias("value"))
 
 
