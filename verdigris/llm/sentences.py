@@ -84,7 +84,8 @@ def _stop_ends(text: str, start: int, at: int, end: int, stop: int) -> bool:
     after = text[following]
     spaced = following > end
     word = m.group() if (m := _WORD_BEFORE.search(text, max(start, at - 24), at)) else ""
-    bare = word.lower().strip("-'’.")
+    # An elided article is no part of the word: l’art.
+    bare = regex.split("['’]", word.lower().strip("-'’."))[-1]
     letter, where = (after, following) if _LETTER_OR_DIGIT.match(after) else _next_letter(text, following, stop)
     if not word:
         return True
@@ -115,7 +116,9 @@ def _stop_ends(text: str, start: int, at: int, end: int, stop: int) -> bool:
         return False
     if bare in ("no",) and word[:1].isupper() and not digits_next:
         return True
-    if bare in MAY_END and bare not in NEVER_ENDS or bare in ("д", "п", "г", "гг", "в", "вв") and _ends_phrase(text, start, at, word, bare):
+    if bare in ("д", "п", "г", "гг", "в", "вв"):
+        return _ends_phrase(text, start, at, word, bare)
+    if bare in MAY_END and bare not in NEVER_ENDS:
         return True
     if bare in NEVER_ENDS:
         return False
