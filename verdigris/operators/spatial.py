@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.functions.geometry import Geometry, read_query_geometry, read_wkb, write_wkb
+from verdigris.functions.geometry import Geometry, is_valid, read_geojson, read_query_geometry, read_wkb, read_wkt, to_geojson, write_wkb, write_wkt
 from verdigris.functions.relate import RELATIONS, Located, distance, relate_points, relation
 
 
@@ -107,3 +109,28 @@ def _distances(query: Geometry, points: bool):
             return pd.Series([distance(Located(g), other) if g is not None else np.inf for g in map(read_wkb, wkb)], dtype=float)
 
     return measure
+
+
+_TEXT_GEOMETRY = T.StructType([T.StructField("wkt", T.StringType()), T.StructField("geojson", T.StringType()), T.StructField("wkb", T.BinaryType()), T.StructField("valid", T.BooleanType())])
+
+
+def read_geometry_text(text: str | None) -> Geometry | None:
+    """A geometry written as WKT, EWKT, GeoJSON or hex WKB; None for anything else."""
+    if not text:
+        return None
+    stripped = text.strip()
+    if stripped.startswith("{"):
+        return read_geojson(stripped)
+    if len(stripped) % 2 == 0 and all(c in "0123456789abcdefABCDEF" for c in stripped):
+        return read_wkb(bytes.fromhex(stripped))
+    return read_wkt(stripped)
+
+
+@F.pandas_udf(_TEXT_GEOMETRY)
+def converted_geometry(text: pd.Series) -> pd.DataFrame:
+    """Every written form of a geometry text, and whether it is valid; nulls where it cannot be read."""
+    rows = []
+    for value in text:
+        g = read_geometry_text(value)
+        rows.append((None,) * 4 if g is None else (write_wkt(g), json.dumps(to_geojson(g)), write_wkb(g), is_valid(g)))
+    return pd.DataFrame(rows, columns=_TEXT_GEOMETRY.names)
