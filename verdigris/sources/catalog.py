@@ -135,7 +135,7 @@ def merge_fields(document: list[Field], live: list[Field], shape_field: str | No
 
 def live_fields(rows: DataFrame) -> list[Field]:
     """Fields of a table that is there."""
-    kinds = {type(v): k for k, v in reversed(list(SPARK_TYPES.items()))}
+    kinds = {type(v): k for k, v in SPARK_TYPES.items()} | {T.LongType: "INT64", T.StringType: "STRING", T.BinaryType: "BLOB"}
     return [Field(f.name, f.metadata.get("type") or kinds.get(type(f.dataType), "STRING"), f.metadata.get("alias"), f.nullable) for f in rows.schema.fields]
 
 
