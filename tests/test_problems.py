@@ -5,7 +5,7 @@ import pytest
 
 from verdigris.operators.changefeed import current_rows, version_outcomes
 from verdigris.operators.datadiff import record_differences
-from verdigris.operators.hierarchy import ancestors_of, full_hierarchy, hierarchy_faults, links_of, resolve
+from verdigris.operators.hierarchy import all_descendants, ancestors_of, full_hierarchy, hierarchy_faults, links_of, resolve
 from verdigris.operators.hotkeys import dense_counts, heavy_key_counts, key_counts
 from verdigris.operators.orphans import orphan_counts, orphan_references, state_references
 
@@ -194,6 +194,27 @@ def test_paths_and_descendants(spark, index_nodes):
         assert r.n_descendants == (sum(n in w[:-1] for w in walks.values()) if n in walks else None)
 
 
+@pytest.mark.parametrize("index_nodes", [1000, 0])
+def test_unrooted_paths_and_descendants(spark, index_nodes):
+    parents = random_forest(7, 40) | {9001: 9003, 9002: 9001, 9003: 9002, 9004: 9002, 9005: 9004, 9006: 9005, 9007: 9007, 9008: 9007, 9010: 99_999, 9011: 9010, 9020: None, 9021: 9020, 9022: 9021}
+    rows = spark.createDataFrame([(n, p) for n, p in parents.items()] * 2, "state_id long, parent_state_id long")
+    got = {r.node_id: r for r in full_hierarchy(rows, "state_id", "parent_state_id", block_nodes=30, index_nodes=index_nodes, unrooted=True).collect()}
+    assert set(got) == set(parents)
+    above = {}
+    for n in parents:
+        kind, end, depth = chain_end(parents, n)
+        chain = [n]
+        while chain[-1] != 0 and parents.get(parents[chain[-1]], -1) != -1 and parents[chain[-1]] not in chain:
+            chain.append(parents[chain[-1]])
+        above[n] = set(chain[1:])
+        shown = chain[: depth + 1] if kind == "below" else chain
+        assert (got[n].kind, got[n].root_id, got[n].depth, got[n].path) == (kind, end, depth, shown[::-1])
+    pairs = {(a, n) for n in above for a in above[n]}
+    found = all_descendants(rows, "state_id", "parent_state_id", block_nodes=30, index_nodes=index_nodes).collect()
+    assert {tuple(r) for r in found} == pairs and len(found) == len(pairs)
+    assert {n: r.n_descendants for n, r in got.items()} == {n: sum(a == n for a, _ in pairs) for n in parents}
+
+
 @pytest.mark.parametrize("index_nodes", [1000, 0])
 def test_faults(spark, index_nodes):
     tree = [(0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 2, 1), (4, 1, 4), (5, 4, 4), (10, 11, 7), (11, 10, 7), (12, 10, 7), (20, 98, 8), (21, 20, 8), (30, 30, 9)]

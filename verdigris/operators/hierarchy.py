@@ -249,7 +249,7 @@ def _cycles_of_block(batches):
 
 
 class ParentIndex:
-    """Sorted nodes with the positions of their parents; climbs many chains at once. Chains must end, as those of kind `root` do."""
+    """Sorted nodes with the positions of their parents; climbs many chains at once, each by a given number of steps."""
 
     def __init__(self, node: np.ndarray, parent: np.ndarray):
         order = np.argsort(node, kind="stable")
@@ -276,7 +276,7 @@ class ParentIndex:
         return at
 
     def paths(self, at: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node ids from the root down to each position, one after another, and the offsets of the paths."""
+        """Node ids from `depth` steps above down to each position, one after another, and the offsets of the paths."""
         offsets = np.concatenate([[0], np.cumsum(depth + 1)])
         out = np.empty(offsets[-1], dtype=np.int64)
         place, left = offsets[1:] - 1, depth.copy()
@@ -298,39 +298,61 @@ def broadcast_index(spark: SparkSession, rooted: DataFrame):
     return spark.sparkContext.broadcast(ParentIndex(rows.node.to_numpy(dtype=np.int64), rows.parent.to_numpy(dtype=np.int64)))
 
 
-def paths(links: DataFrame, ends: DataFrame, root: int = 0, index_nodes: int = INDEX_NODES) -> DataFrame:
-    """(node, depth, path): the ids from the root to each node whose chain reaches `root`."""
-    rooted = cut_lineage(_rooted(links, ends, root))
-    if rooted.count() > index_nodes:
-        return _doubled_paths(rooted, root)
-    index = broadcast_index(links.sparkSession, rooted)
+def paths(links: DataFrame, ends: DataFrame, index_nodes: int = INDEX_NODES) -> DataFrame:
+    """(node, depth, path) of every node: the ids from the end of its chain down to it.
+
+    A path begins at the root or parentless node, at the last known node of a detached chain, or at the first cycle member that the chain reaches.
+    That of a node on a cycle goes once round it: it begins at the node's own child on the cycle.
+    """
+    # The end of a detached chain is no node, and a cycle of `depth` nodes has one step less.
+    steps = F.when(F.col("kind").isin("detached", "cycle"), F.col("depth") - 1).otherwise(F.col("depth"))
+    chains = cut_lineage(ends.select("node", "depth", steps.alias("steps")).join(links, "node"))
+    if chains.count() > index_nodes:
+        return _doubled_paths(chains)
+    index = broadcast_index(links.sparkSession, chains)
 
     def walk(batches):
         import pyarrow as pa
 
         for batch in batches:
-            node, depth = (batch.column(i).to_numpy() for i in range(2))
+            node, depth, steps = (batch.column(i).to_numpy() for i in range(3))
             order = np.arange(len(node))
             # A batch's paths are written in pieces of some million ids.
-            for piece in np.split(order, np.unique(np.searchsorted(np.cumsum(depth + 1), np.arange(2_000_000, (depth + 1).sum() + 1, 2_000_000)))):
+            for piece in np.split(order, np.unique(np.searchsorted(np.cumsum(steps + 1), np.arange(2_000_000, (steps + 1).sum() + 1, 2_000_000)))):
                 if len(piece):
-                    ids, offsets = index.value.paths(index.value.find(node[piece]), depth[piece])
+                    ids, offsets = index.value.paths(index.value.find(node[piece]), steps[piece])
                     path = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                     yield pa.RecordBatch.from_arrays([pa.array(node[piece]), pa.array(depth[piece]), path], names=["node", "depth", "path"])
 
-    return rooted.select("node", "depth").repartition(shuffle_partitions(links.sparkSession)).mapInArrow(walk, "node long, depth long, path array<long>")
+    return chains.select("node", "depth", "steps").repartition(shuffle_partitions(links.sparkSession)).mapInArrow(walk, "node long, depth long, path array<long>")
 
 
-def _doubled_paths(rooted: DataFrame, root: int) -> DataFrame:
-    """Each round puts the path of a node's target before its own, so a path doubles in length."""
-    state = rooted.select("node", "depth", F.when(F.col("node") != root, F.col("parent")).alias("target"), F.array("node").alias("path"))
+def _doubled_paths(chains: DataFrame) -> DataFrame:
+    """Each round puts the path of a node's target, or its last part that is still missing, before its own, so a path doubles in length."""
+    state = chains.select("node", "depth", "steps", F.when(F.col("steps") > 0, F.col("parent")).alias("target"), F.array("node").alias("path"))
     while not state.filter("target is not null").isEmpty():
         onward = state.select(F.col("node").alias("target"), F.col("target").alias("t2"), F.col("path").alias("above"))
-        moved = state.filter("target is not null").join(onward, "target").select("node", "depth", F.col("t2").alias("target"), F.concat("above", "path").alias("path"))
+        taken = F.least(F.size("above"), (F.col("steps") + 1 - F.size("path")).cast("int"))
+        longer = F.concat(F.slice("above", F.size("above") - taken + 1, taken), "path")
+        moved = state.filter("target is not null").join(onward, "target").select("node", "depth", "steps", "t2", longer.alias("path"))
+        moved = moved.select("node", "depth", "steps", F.when(F.size("path") <= F.col("steps"), F.col("t2")).alias("target"), "path")
         state = cut_lineage(state.filter("target is null").unionByName(moved))
     return state.select("node", "depth", "path")
 
 
+def descendants(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, descendant): every node with each other node whose chain of parents goes through it, from the `paths` and `resolve` of all nodes.
+
+    Of nodes on a cycle these are the others on it and all below it; no node is its own descendant.
+    """
+    on_path = found.select(F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("above"), "node")
+    # The path of a node below a cycle holds only the first member that it reaches.
+    below = ends.filter("kind = 'below'").select("node", "end_id").join(found.select("node", F.col("path")[0].alias("first")), "node")
+    members = ends.filter("kind = 'cycle'").select(F.col("node").alias("above"), "end_id")
+    round_it = below.join(members, "end_id").filter("above <> first").select("above", "node")
+    return on_path.unionByName(round_it).select(F.col("above").alias("node"), F.col("node").alias("descendant"))
+
+
 def are_ancestors(pairs: DataFrame, links: DataFrame, ends: DataFrame, root: int = 0, index_nodes: int = INDEX_NODES) -> DataFrame:
     """`pairs` (low, high, both reaching `root`, and their depths low_depth, high_depth) with `above`: whether high is low or an ancestor of it."""
     rooted = cut_lineage(_rooted(links, ends, root))
@@ -385,26 +407,40 @@ def ancestors_of(links: DataFrame, tip: int | None, root: int = 0, index_nodes:
         lift = cut_lineage(lift.join(lift.select(F.col("node").alias("target"), F.col("target").alias("t2")), "target").select("node", F.col("t2").alias("target")))
 
 
-def full_hierarchy(rows: DataFrame, node: str, parent: str, root: int = 0, block_nodes: int = BLOCK_NODES, index_nodes: int = INDEX_NODES) -> DataFrame:
-    """(node_id, kind, root_id, depth, n_descendants, path) of every node; path (from the root) and n_descendants where the chain reaches `root`.
+def full_hierarchy(
+    rows: DataFrame, node: str, parent: str, root: int = 0, block_nodes: int = BLOCK_NODES, index_nodes: int = INDEX_NODES, unrooted: bool = False
+) -> DataFrame:
+    """(node_id, kind, root_id, depth, n_descendants, path) of every node, as `resolve`, `paths` and `descendants` define them.
 
-    The descendants of a node are the nodes whose path holds it. Repeats of a node count once; an empty table gives no rows.
+    Path and n_descendants are null where the chain does not reach `root`, unless `unrooted` asks for those of all nodes. Repeats of a node count once;
+    an empty table gives no rows.
     """
-    links = cut_lineage(links_of(rows, node, parent))
-    ends = resolve(links, (root,), block_nodes)
-    found = cut_lineage(paths(links, ends, root, index_nodes))
-    below = found.select(F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    ends, found = _walked(rows, node, parent, root, block_nodes, index_nodes)
+    below = descendants(found, ends).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     joined = ends.join(found.select("node", "path"), "node", "left").join(below, "node", "left")
+    shown = F.lit(True) if unrooted else (F.col("kind") == "root") & (F.col("end_id") == root)
     return joined.select(
         F.col("node").alias("node_id"),
         "kind",
         F.col("end_id").alias("root_id"),
         "depth",
-        F.when(F.col("path").isNotNull(), F.coalesce("n", F.lit(0))).alias("n_descendants"),
-        "path",
+        F.when(shown, F.coalesce("n", F.lit(0))).alias("n_descendants"),
+        F.when(shown, F.col("path")).alias("path"),
     )
 
 
+def all_descendants(rows: DataFrame, node: str, parent: str, root: int = 0, block_nodes: int = BLOCK_NODES, index_nodes: int = INDEX_NODES) -> DataFrame:
+    """(node_id, descendant_id) of every node, whether or not its chain reaches `root`."""
+    ends, found = _walked(rows, node, parent, root, block_nodes, index_nodes)
+    return descendants(found, ends).select(F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"))
+
+
+def _walked(rows: DataFrame, node: str, parent: str, root: int, block_nodes: int, index_nodes: int) -> tuple[DataFrame, DataFrame]:
+    links = cut_lineage(links_of(rows, node, parent))
+    ends = resolve(links, (root,), block_nodes)
+    return ends, cut_lineage(paths(links, ends, index_nodes))
+
+
 def hierarchy_faults(states: DataFrame, closure: DataFrame, root: int = 0, block_nodes: int = BLOCK_NODES, index_nodes: int = INDEX_NODES) -> DataFrame:
     """Distinct (kind, node_id, ref_id, depth): nodes on cycles, below cycles and detached, and closure rows that the tree contradicts.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators.changefeed import current_rows, version_outcomes, version_tip
 from verdigris.operators.datadiff import record_differences
-from verdigris.operators.hierarchy import full_hierarchy, hierarchy_faults
+from verdigris.operators.hierarchy import all_descendants, full_hierarchy, hierarchy_faults
 from verdigris.operators.hotkeys import heavy_key_counts, key_counts
 from verdigris.operators.orphans import orphan_counts, orphan_references, state_references
 from verdigris.operators.proximity import near_operations
@@ -67,11 +67,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full_hierarchy(table(spark, sf_dir, "sde_states"), "state_id", "parent_state_id")
+    return full_hierarchy(table(spark, sf_dir, "sde_states"), "state_id", "parent_state_id", unrooted=True)
+
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_descendants(table(spark, sf_dir, "sde_states"), "state_id", "parent_state_id")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_differences(table(spark, sf_dir, "changed_features"), ["registration_id", "objectid", "state_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p3_found, p3_rows, p4_found, p4_counts, p5_found, p5_hierarchy, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p3_found, p3_rows, p4_found, p4_counts, p5_found, p5_hierarchy, p5_descendants, p6_found)}
