@@ -1,9 +1,12 @@
+import struct
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import types as T
 
 from verdigris.operators.spatial import geometry_column, read_geometry_text, spatial_filter
 from verdigris.functions.geometry import read_wkt, write_wkb
+from verdigris.plans.spatial_queries import QUERIES as SPATIAL
 from verdigris.sources import catalog
 from verdigris.sources.catalog import Field
 from verdigris.streaming.deltas import apply_feed, changes_per_window, follow, visible_rows, without_repeats
@@ -78,3 +81,25 @@ def test_streams(spark, tmp_path):
     timed = follow(spark, source, schema)
     assert timed.isStreaming and without_repeats(timed, ["objectid", "state"], "at", "1 hour").isStreaming
     assert changes_per_window(timed.withColumnRenamed("state", "sde_state_id"), "at", "1 hour", "1 day").columns == ["window_start", "sde_state_id", "n_changes"]
+
+
+def test_geometries_of_every_spelling(spark, tmp_path):
+    little, big = struct.pack("<BIdd", 1, 1, 3, 4).hex(), struct.pack(">BIdd", 0, 1, 3, 4).hex().upper()
+    point, line = ("Point", 3.0, 4.0, 3.0, 4.0, True), ("LineString", 1.0, 2.0, 5.0, 40000.0, True)
+    texts = {
+        "POINT (3 4)": point, "point(3   4)": point, "POINT Z (3 4 85)": point, "SRID=7301;POINT(3 4)": point, " Point M ( 3 4 9 ) ": point, little: point, big: point,
+        f"0x{little}": point, f"\\x{little}": point, struct.pack("<BIidd", 1, 0x20000001, 7301, 3, 4).hex(): point, struct.pack("<BIddd", 1, 1001, 3, 4, 5).hex(): point,
+        '{"type":"Point","coordinates":[3,4]}': point, '{ "coordinates": [3.0, 4, 7], "type": "Point" }': point, '{"wkt":"POINT(3 4)"}': point, f'{{"wkb":"{little}"}}': point,
+        "LINESTRING (1 2, 5 40000)": line, "linestring z(1 2 0, 5 40000 0)": line, '{"coordinates":[[1,2],[5,40000]],"type":"LineString"}': line,
+        struct.pack("<BIIdddd", 1, 2, 2, 1, 2, 5, 40000).hex(): line, '{"type":"LineString","coordinates":[[1,2],[5,6]]}': ("LineString", 1.0, 2.0, 5.0, 6.0, True),
+        "POLYGON((0 0, 1 0, 0 0))": ("Polygon", 0.0, 0.0, 1.0, 0.0, False),
+        "GEOMETRYCOLLECTION(POINT(3 4), LINESTRING(1 2, 3 3))": ("GeometryCollection", 1.0, 2.0, 3.0, 4.0, True),
+        "": (None,) * 5 + (False,), "POINT (12.5)": (None,) * 5 + (False,), "0101000000": (None,) * 5 + (False,), '{"type":"Point","coordinates":[null,null]}': (None,) * 5 + (False,),
+    }
+    rows = list(enumerate([*texts, None]))
+    spark.createDataFrame(rows * 2, "op_id long, new_geometry string").write.parquet(str(tmp_path / "edit_operations.parquet"))
+    got = SPATIAL["geometries_converted"](spark, str(tmp_path)).collect()
+    assert {r.op_id: tuple(r)[1:] for r in got} == {i: texts[t] for i, t in rows if t is not None} and len(got) == len(texts)
+    inside = {(i, texts[t][0]) for i, t in rows if t is not None and texts[t][5] and max(texts[t][1:5]) <= 30000 and min(texts[t][1:5]) >= 0}
+    assert {tuple(r) for r in SPATIAL["geometries_within"](spark, str(tmp_path)).collect()} >= inside
+    assert {r.op_id for r in SPATIAL["geometries_within"](spark, str(tmp_path)).collect()}.isdisjoint(i for i, t in rows if t is None or texts[t][3] is None or texts[t][4] > 30000)

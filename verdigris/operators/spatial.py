@@ -111,16 +111,31 @@ def _distances(query: Geometry, points: bool):
     return measure
 
 
-_TEXT_GEOMETRY = T.StructType([T.StructField("wkt", T.StringType()), T.StructField("geojson", T.StringType()), T.StructField("wkb", T.BinaryType()), T.StructField("valid", T.BooleanType())])
+_TEXT_GEOMETRY = T.StructType(
+    [
+        T.StructField("type", T.StringType()),
+        T.StructField("wkt", T.StringType()),
+        T.StructField("geojson", T.StringType()),
+        T.StructField("wkb", T.BinaryType()),
+        T.StructField("valid", T.BooleanType()),
+    ]
+)
 
 
 def read_geometry_text(text: str | None) -> Geometry | None:
-    """A geometry written as WKT, EWKT, GeoJSON or hex WKB; None for anything else."""
+    """A geometry written as WKT, EWKT, GeoJSON, hex WKB (0x or \\x before it or not), or an object with such a wkt or wkb; None for anything else."""
     if not text:
         return None
     stripped = text.strip()
     if stripped.startswith("{"):
-        return read_geojson(stripped)
+        try:
+            value = json.loads(stripped)
+        except (ValueError, RecursionError):
+            return None
+        inner = value.get("wkt") or value.get("wkb")
+        return read_geometry_text(inner) if isinstance(inner, str) else read_geojson(value)
+    if stripped[:2] in ("0x", "\\x"):
+        stripped = stripped[2:]
     if len(stripped) % 2 == 0 and all(c in "0123456789abcdefABCDEF" for c in stripped):
         return read_wkb(bytes.fromhex(stripped))
     return read_wkt(stripped)
@@ -128,9 +143,9 @@ def read_geometry_text(text: str | None) -> Geometry | None:
 
 @F.pandas_udf(_TEXT_GEOMETRY)
 def converted_geometry(text: pd.Series) -> pd.DataFrame:
-    """Every written form of a geometry text, and whether it is valid; nulls where it cannot be read."""
+    """The type and every written form of a geometry text, and whether it is valid; nulls where it cannot be read."""
     rows = []
     for value in text:
         g = read_geometry_text(value)
-        rows.append((None,) * 4 if g is None else (write_wkt(g), json.dumps(to_geojson(g)), write_wkb(g), is_valid(g)))
+        rows.append((None,) * 5 if g is None else (g.type, write_wkt(g), json.dumps(to_geojson(g)), write_wkb(g), is_valid(g)))
     return pd.DataFrame(rows, columns=_TEXT_GEOMETRY.names)

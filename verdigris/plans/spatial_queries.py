@@ -32,6 +32,24 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("g", converted_geometry("new_geometry"))
 
 
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).withColumn("shape", geometry_column(F.col("g.wkb")))
+
+
+def _geometries_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every geometry text, however it is spelled: type and envelope (null if it cannot be read or is empty), and whether it is a valid geometry."""
+    box = [F.col(f"shape.{c}") for c in ("xmin", "ymin", "xmax", "ymax")]
+    return _shapes(spark, sf_dir).filter("new_geometry is not null").select("op_id", F.col("g.type").alias("type"), *box, F.coalesce("g.valid", F.lit(False)).alias("valid"))
+
+
+def _geometries_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geometries of every type and spelling within the box of spatial_line_within."""
+    return spatial_filter(_shapes(spark, sf_dir), {"envelope": [0, 0, 30000, 30000]}, "within").select("op_id", F.col("g.type").alias("type"))
+
+
+# The next three are compared with SQL twins, which can parse one spelling each; geometries_converted and geometries_within have no such filter.
+
+
 def _geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _texts(spark, sf_dir).filter("new_geometry like '{\"type\":\"Point\",\"coordinates\":[%,%]}' and g.valid")
     shape = geometry_column(F.col("g.wkb"))
@@ -70,6 +88,8 @@ QUERIES = {
     "spatial_line_within": _polygon_texts,
     "geojson_points": _geojson_points,
     "wkt_points": _wkt_points,
+    "geometries_converted": _geometries_converted,
+    "geometries_within": _geometries_within,
     "catalog_tables": _tables,
 }
 
