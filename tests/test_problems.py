@@ -277,3 +277,28 @@ def test_differences(spark):
         ]
     )
     assert record_differences(spark.createDataFrame([], FEATURES), ["registration_id", "objectid", "state_id"]).collect() == []
+
+
+def test_whole_geometries_differ(spark):
+    def row(side, key, geometry):
+        return (side, "t", 19, key, 1, "update", '{"id":1,"attributes":{"A":1},"geometry":%s}' % geometry, T(2025, 1, 1), "f")
+
+    bag = '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[3,4]}]}]}'
+    pairs = {
+        1: (bag, '{ "geometries":[{"coordinates":[1.0,2.0000000001],"type":"point"},{"geometries":[{"type":"POINT","coordinates":[3,4e0]}],"type":"geometrycollection"}],"type":"GEOMETRYCOLLECTION"}'),
+        2: (bag, bag.replace("[3,4]", "[3,5]")),
+        3: (bag, bag.replace('"Point","coordinates":[1,2]', '"LineString","coordinates":[[1,2],[1,3]]')),
+        4: (bag, bag.replace('{"type":"Point","coordinates":[1,2]},', "")),
+        5: ('"POINT(1 2)"', '"POINT(1 3)"'),
+        6: ('"POINT(1 2)"', '"POINT(1 2)"'),
+        7: ('"POINT(1 2)"', '{"type":"Point","coordinates":[1,2]}'),
+        8: ('{"type":"Point","coordinates":[1,2],"crs":"EPSG:1"}', '{"type":"Point","coordinates":[1,2],"crs":"EPSG:2"}'),
+        9: ('{"type":"Point","coordinates":[1,2]}', '{"coordinates":[1,2.0],"type":"Point"}'),
+        10: ('{"type":"Point"}', '{"type":"Line"}'),
+        11: ("[1,2]", "[1,3]"),
+        12: ('{"wkt":"POINT(1 2)"}', '{"wkt":"POINT(1 3)"}'),
+        13: ("5", "6"),
+    }
+    rows = [row(s, k, g) for k, both in pairs.items() for s, g in zip(("origin", "replica"), both)]
+    got = record_differences(spark.createDataFrame(rows, FEATURES), ["registration_id", "objectid", "state_id"]).collect()
+    assert sorted((r.objectid, r.diff_kind, r.field) for r in got) == [(k, "value", "GEOMETRY") for k in (2, 3, 4, 5, 7, 8, 10, 11, 12, 13)]

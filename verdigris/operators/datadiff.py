@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Numbers this close are equal.
 TOLERANCE = 1e-9
 _NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+#: A type with its value, another string or a number of JSON.
+_TOKEN = rf'"type":{_STRING}|{_STRING}|{_NUMBER}'
 _CELL = "struct<kind string, text string, numbers array<double>>"
 
 
@@ -33,11 +36,18 @@ def _value_cell(field: Column, value: Column, instants: tuple[str, ...]) -> Colu
 
 
 def _geometry_cell(geometry: Column) -> Column:
-    """The kind of geometry (letter case ignored) and the nesting of its coordinates as text, the coordinates as numbers."""
-    coordinates = F.coalesce(F.try_variant_get(geometry, "$.coordinates", "string"), F.lit("null"))
-    numbers = F.transform(F.regexp_extract_all(coordinates, F.lit(_NUMBER), F.lit(0)), lambda t: t.cast("double"))
-    shape = F.concat_ws(" ", F.lower(F.try_variant_get(geometry, "$.type", "string")), F.regexp_replace(coordinates, _NUMBER, "#"))
-    return F.when(geometry.isNotNull() & ~F.is_variant_null(geometry), _cell("geometry", shape, numbers))
+    """The whole value of an object: its types (letter case ignored), all its other text, and the numbers outside strings as numbers.
+
+    The text of a variant has no blanks and its members in the order of their names. A geometry that is no object is compared as its text.
+    """
+    text = F.try_variant_get(geometry, "$", "string")
+    # Strings are taken whole, so that their digits are no coordinates.
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    numbers = F.transform(F.filter(tokens, lambda t: ~t.startswith('"')), lambda t: t.cast("double"))
+    strings = F.transform(F.filter(tokens, lambda t: t.startswith('"')), lambda t: F.when(t.startswith('"type":'), F.lower(t)).otherwise(t))
+    shape = F.concat_ws(" ", F.array_join(strings, " "), F.regexp_replace(text, _TOKEN, "#"))
+    is_object = F.schema_of_variant(geometry).startswith("OBJECT")
+    return F.when(geometry.isNotNull() & ~F.is_variant_null(geometry), F.when(is_object, _cell("geometry", shape, numbers)).otherwise(_cell("text", text)))
 
 
 def _differs(a: str, b: str) -> Column:
