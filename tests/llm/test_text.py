@@ -85,6 +85,20 @@ def test_leaks_equal_brute_force(spark):
     assert leaked_passages(d.limit(0), t, 4, 8).collect() == [] and leaked_passages(d, t.limit(0), 4, 8).collect() == []
 
 
+@pytest.mark.parametrize("most", [1, 150, 10_000])
+def test_leaks_of_test_sets_beyond_the_bound(spark, most):
+    rng = random.Random(6)
+    passage = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    tests = [(i, "en", passage(9)) for i in range(10)] + [(3, "en", passage(14)), (20, "ja", "これは長い文章です、とても長い。")]
+    documents = [(i, passage(rng.randrange(0, 60))) for i in range(30)] + [(100, "これは長い文章です、とても長い！"), (101, None)]
+    d, t = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(tests * 2, "item_id long, lang string, passage string")
+    found = leaked_passages(d, t, 4, 8, most_test_bytes=most)
+    rows = found.collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == brute(documents, tests, 4, 8) and len(rows) == len(set(rows))
+    assert sorted(rows) == sorted(leaked_passages(d, t, 4, 8).collect())
+    assert leaked_passages(d, t.limit(0), 4, 8, most_test_bytes=most).collect() == []
+
+
 def test_suffix_arrays():
     import numpy as np
 

@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from verdigris.session import cut_lineage
 
 #: Consecutive words, or letters and digits for languages without spaces, that make a match.
 MATCH_WORDS = 12
@@ -21,7 +24,7 @@ UNSPACED = ("ja", "zh")
 SHARD_SYMBOLS = 4_000_000
 #: Matches held at a time.
 GROUP_MATCHES = 4_000_000
-#: Bytes of test passages that are sent to every task.
+#: Bytes of test passages that are sent to every task at once.
 MOST_TEST_BYTES = 64_000_000
 _RUN = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -147,17 +150,42 @@ def _longest(tests: TestSuffixes, pieces, offsets, symbols, order, hits, first,
 _MATCH = "doc_id long, item_id long, doc_place long, item_place long, length long"
 
 
-def leaked_passages(documents: DataFrame, tests: DataFrame, match_words: int = MATCH_WORDS, match_letters: int = MATCH_LETTERS, unspaced: tuple[str, ...] = UNSPACED) -> DataFrame:
+def leaked_passages(documents: DataFrame, tests: DataFrame, match_words: int = MATCH_WORDS, match_letters: int = MATCH_LETTERS, unspaced: tuple[str, ...] = UNSPACED, most_test_bytes: int = MOST_TEST_BYTES) -> DataFrame:
     """(doc_id, item_id, doc_place, item_place, length): for each document and test item that share enough consecutive units, the longest shared run.
 
     documents(doc_id, text), tests(item_id, lang, passage). Units are words; for items of an unspaced language single letters and digits, places and
     lengths then count these. Null, empty and short texts and passages match nothing. Rows of a shard are matched whole, however long a text is. The
-    test passages go to every task and are refused beyond MOST_TEST_BYTES: such a set is to be matched in parts, whose results add up.
+    test passages go to every task, beyond `most_test_bytes` in parts of whole items, one after another, whose results add up. One item's passages are
+    never divided, so that the longest run of a document and item comes from one part.
     """
     rows = tests.select("item_id", "lang", "passage").filter("item_id is not null and passage is not null")
-    n_bytes = rows.selectExpr("coalesce(sum(octet_length(passage)), 0)").first()[0]
-    if n_bytes > MOST_TEST_BYTES:
-        raise ValueError(f"{n_bytes} bytes of test passages are more than a task should hold; match them in parts")
+    parts = _parts(rows, most_test_bytes)
+    if len(parts) == 1:
+        return _matches(documents, rows, match_words, match_letters, unspaced)[0]
+    found = None
+    for low, high in parts:
+        matches, shared = _matches(documents, rows.filter(F.col("item_id").between(low, high)), match_words, match_letters, unspaced)
+        matches = cut_lineage(matches)
+        shared.destroy()
+        found = matches if found is None else found.unionByName(matches)
+    return found
+
+
+def _parts(rows: DataFrame, most: int) -> list[tuple[int, int]]:
+    """First and last item_id of parts of at most `most` bytes of passages, or of one item that has more; one part at least."""
+    sizes = rows.distinct().groupBy("item_id").agg(F.sum(F.octet_length("passage")).alias("n")).orderBy("item_id").toPandas()
+    parts, size = [], 0
+    for item, n in zip(sizes.item_id.tolist(), sizes.n.tolist()):
+        if not parts or size + n > most:
+            parts.append((item, item))
+            size = 0
+        parts[-1] = (parts[-1][0], item)
+        size += n
+    return parts or [(0, 0)]
+
+
+def _matches(documents: DataFrame, rows: DataFrame, match_words: int, match_letters: int, unspaced: tuple[str, ...]):
+    """The matches of one part of the test items, and its broadcast."""
     passages = sorted((r.item_id, r.lang, r.passage) for r in rows.distinct().collect())
     by_word = TestSuffixes([(i, words_of(p)) for i, lang, p in passages if lang not in unspaced], match_words)
     by_letter = TestSuffixes([(i, list("".join(words_of(p)))) for i, lang, p in passages if lang in unspaced], match_letters)
@@ -189,7 +217,7 @@ def leaked_passages(documents: DataFrame, tests: DataFrame, match_words: int = M
                 size = 0
         yield from flush()
 
-    return documents.select("doc_id", "text").mapInArrow(search, _MATCH)
+    return documents.select("doc_id", "text").mapInArrow(search, _MATCH), shared
 
 
 def without_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:
