@@ -2,9 +2,10 @@ import pytest
 
 from tests.model import random_model
 from verdigris.operators import compaction
+from verdigris.operators import fabric as fabric_module
 from verdigris.operators.compaction import CompactionRefused
 from verdigris.operators.fabric import BrokenLineageError, Fabric, FeatureTable, StateTree, state_set
-from verdigris.operators.versioned import read_states
+from verdigris.operators.versioned import read_states, read_version
 
 
 def to_fabric(spark, m):
@@ -87,3 +88,22 @@ def test_tree():
     for tip in (20, 30, 77):
         with pytest.raises(BrokenLineageError):
             tree.walk(tip)
+
+
+def test_trees_beyond_the_bound(spark, monkeypatch):
+    m = random_model(3)
+    fabric = to_fabric(spark, m)
+    names = sorted(m.tips)
+    want = {n: (fabric.tree().walk(m.tips[n]), sorted(map(tuple, read_version(fabric, "t", n).collect()))) for n in names}
+    longest = max(len(w) for w, _ in want.values())
+    assert longest < len(m.parents)
+    monkeypatch.setattr(fabric_module, "INDEX_NODES", longest)
+    for n in names:
+        assert (fabric.tree(m.tips[n]).walk(m.tips[n]), sorted(map(tuple, read_version(fabric, "t", n).collect()))) == want[n]
+    with pytest.raises(ValueError):
+        fabric.tree()
+    broken = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (20, 21), (21, 20), (30, 99), (5, None)], "state_id long, parent_state_id long")
+    for tip in (20, 30, 77):
+        with pytest.raises(BrokenLineageError):
+            StateTree.of(broken, 3, [tip]).walk(tip)
+    assert StateTree.of(broken, 3, [2, 5, 0, None]).common_ancestor(2, 5) == 0

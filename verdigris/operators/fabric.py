@@ -6,7 +6,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.operators.hierarchy import INDEX_NODES, links_of
+from verdigris.operators.hierarchy import INDEX_NODES, ancestors_of, links_of
+from verdigris.session import cut_lineage
 
 #: The base state: never a member of a lineage, never collapsed into, never pruned.
 ROOT = 0
@@ -25,18 +26,33 @@ class VersionNotFoundError(KeyError):
 
 
 class StateTree:
-    """Parents of all states, held on the driver; refused beyond `most` states, for which the distributed hierarchy operators exist."""
+    """Parents of states, held on the driver: of all, or, beyond `most` states, of those on the chains of some tips, which joins find.
+
+    Beyond `most` the tree of no tips in particular, and chains of more than `most` states, are refused.
+    """
 
     def __init__(self, parents: dict[int, int]):
         self.parents = parents
         self._children: dict[int, list[int]] | None = None
 
     @classmethod
-    def of(cls, states: DataFrame, most: int = INDEX_NODES) -> StateTree:
-        rows = links_of(states, "state_id", "parent_state_id").limit(most + 1).toPandas()
-        if len(rows) > most:
+    def of(cls, states: DataFrame, most: int = INDEX_NODES, tips: list[int | None] | None = None) -> StateTree:
+        links = links_of(states, "state_id", "parent_state_id")
+        rows = links.limit(most + 1).toPandas()
+        if len(rows) <= most:
+            return cls(_parents(rows))
+        if tips is None:
             raise ValueError(f"more than {most} states")
-        return cls({int(n): int(p) if p == p and p is not None else ROOT for n, p in zip(rows.node, rows.parent)})
+        links = cut_lineage(links)
+        parents: dict[int, int] = {}
+        for tip in tips:
+            if tip is None or tip == ROOT or tip in parents:
+                continue
+            chain = ancestors_of(links, int(tip), ROOT, most).withColumnRenamed("state", "node")
+            parents |= _parents(links.join(chain, "node", "left_semi").limit(most + 1).toPandas())
+            if len(parents) > most:
+                raise ValueError(f"more than {most} states in the lineages")
+        return cls(parents)
 
     def walk(self, tip: int | None) -> list[int]:
         """The tip and its ancestors without the root, from the tip on; empty for no tip or the root. A missing state or a cycle raises."""
@@ -94,6 +110,10 @@ class StateTree:
         return found
 
 
+def _parents(rows) -> dict[int, int]:
+    return {int(n): int(p) if p == p and p is not None else ROOT for n, p in zip(rows.node, rows.parent)}
+
+
 @dataclass(frozen=True)
 class FeatureTable:
     """One versioned table: base rows by objectid, adds by (objectid, sde_state_id), delete markers (sde_deletes_row_id, sde_state_id, deleted_at)."""
@@ -124,8 +144,9 @@ class Fabric:
     def spark(self) -> SparkSession:
         return self.states.sparkSession
 
-    def tree(self) -> StateTree:
-        return StateTree.of(self.states)
+    def tree(self, *tips: int | None) -> StateTree:
+        """The tree of all states; with tips only their chains are sure to be in it."""
+        return StateTree.of(self.states, INDEX_NODES, list(tips) if tips else None)
 
     def with_table(self, table: FeatureTable) -> Fabric:
         return replace(self, tables=self.tables | {table.name: table})

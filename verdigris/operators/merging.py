@@ -100,8 +100,9 @@ def parent_of(fabric: Fabric, version) -> str:
 
 def ranges(fabric: Fabric, name: str) -> tuple[StateTree, int, int, int]:
     """(tree, child tip, parent tip, common ancestor) of a version and its parent."""
-    tree, version = fabric.tree(), fabric.find_version(name)
+    version = fabric.find_version(name)
     child, parent = fabric.tip(name), fabric.tip(parent_of(fabric, version))
+    tree = fabric.tree(child, parent)
     return tree, child, parent, tree.common_ancestor(child, parent)
 
 

@@ -48,7 +48,8 @@ def read_states(table: FeatureTable, states: DataFrame) -> DataFrame:
 
 def read_version(fabric: Fabric, table: str, version: str) -> DataFrame:
     """The table as the version sees it; a version at the root state sees the base rows."""
-    return read_states(fabric.tables[table], state_set(fabric.spark, fabric.tree().walk(fabric.tip(version))))
+    tip = fabric.tip(version)
+    return read_states(fabric.tables[table], state_set(fabric.spark, fabric.tree(tip).walk(tip)))
 
 
 def read_options(
@@ -147,7 +148,8 @@ def version_signatures(fabric: Fabric, table: str, measures: dict[str, Column] |
     columns = [c for c in source.base.columns if c in source.columns]
     measures = measures or {"signature": row_signature(columns)}
     versions = fabric.versions.select("owner", "name", F.coalesce("state_id", F.lit(ROOT)).alias("tip"))
-    pairs = lineage_pairs(fabric.spark, fabric.tree(), [r.tip for r in versions.select("tip").distinct().collect()])
+    tips = [r.tip for r in versions.select("tip").distinct().collect()]
+    pairs = lineage_pairs(fabric.spark, fabric.tree(*tips), tips)
     shown, hidden = all_version_deltas(source, pairs)
 
     def sums(rows: DataFrame, keys: list[str], sign: int) -> DataFrame:

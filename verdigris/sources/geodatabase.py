@@ -138,7 +138,8 @@ class Table:
         return (rows.filter(where) if where else rows).count()
 
     def read_feature_at_state(self, objectid: int, ancestor: int, version: str = DEFAULT) -> dict | None:
-        states = state_set(self._gdb.spark, self._gdb.fabric.tree().walk(self._gdb.fabric.tip(version)))
+        tip = self._gdb.fabric.tip(version)
+        states = state_set(self._gdb.spark, self._gdb.fabric.tree(tip).walk(tip))
         row = versioned.feature_at_state(self.source, objectid, ancestor, states).first()
         return to_feature(row, self.shape_field) if row is not None else None
 
@@ -288,7 +289,8 @@ class Geodatabase:
 
     def lineage(self, version: str) -> list[int] | None:
         """The version's walk; None at the root state."""
-        return self.fabric.tree().walk(self.fabric.tip(version)) or None
+        tip = self.fabric.tip(version)
+        return self.fabric.tree(tip).walk(tip) or None
 
     def set_current_version(self, name: str) -> None:
         if self.get_version(name) is None:
@@ -344,7 +346,8 @@ class Geodatabase:
             session.close()
 
     def version_statistics(self, version: str) -> list:
-        states = state_set(self.spark, self.fabric.tree().walk(self.fabric.tip(version)))
+        tip = self.fabric.tip(version)
+        states = state_set(self.spark, self.fabric.tree(tip).walk(tip))
         return changes.version_stats(self.fabric, states).collect()
 
     def _merged(self, version: str, operation):
