@@ -37,7 +37,7 @@ def tokenizer():
 @pytest.mark.parametrize("words", [5, 1000])
 def test_encoding_and_decoding(spark, tokenizer, words):
     documents = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
-    encoded = encode_documents(documents, VOCABULARIES, dictionary_words=words)
+    encoded = encode_documents(documents, VOCABULARIES, literal_words=words)
     assert encoded.dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
     got = {r.doc_id: r.ids for r in encoded.collect()}
     assert got == {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(TEXTS)}
@@ -45,6 +45,30 @@ def test_encoding_and_decoding(spark, tokenizer, words):
         assert {r.doc_id: r.text for r in decode_documents(encoded).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_words_of_any_length(spark, tokenizer):
+    pick = random.Random(3)
+    texts = ["x" * 100_000, "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "banana" * 500, "".join(pick.choice("ab") for _ in range(2_000)), "言葉" * 2_000]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in encode_documents(documents).collect()}
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_every_row_is_encoded_and_no_variable_left(spark):
+    documents = spark.createDataFrame([(7, "one two"), (7, "one two"), (7, "antidisestablishmentarianism"), (None, "two")], "doc_id long, text string")
+    for words in (0, 1, 100):
+        rows = encode_documents(documents, literal_words=words).collect()
+        assert sorted(str(r.doc_id) for r in rows) == ["7", "7", "7", "None"] and all(r.ids for r in rows)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("verdigris_")]
+
+
+def test_random_words_against_the_public_encoder(spark, tokenizer):
+    pick = random.Random(11)
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randrange(1, 60))) for letters in ("aab", "abcdeé", "тест ", "ab ab\n\t", "the ing") for _ in range(60)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in encode_documents(documents, literal_words=40).collect()}
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 def test_encoding_of_nothing(spark):
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
