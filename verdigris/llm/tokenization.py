@@ -203,7 +203,10 @@ def encode_documents(documents: DataFrame, folder: str = VOCABULARIES, name: str
         frequent = folded.filter(F.octet_length("word") <= LITERAL_WORD_BYTES).orderBy(F.desc("n"), "word").limit(literal_words)
         known = literals.table(frequent.select(F.col("word").alias("key"), F.col("ids").alias("value")))
         words = words_of(F.col("text"))
-
+        size = folded.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.octet_length("word") > LITERAL_WORD_BYTES).alias("long")).first()
+        if size.n <= literal_words and not size.long:
+            # The literal has all words, so there are no occurrences to join.
+            return documents.select("doc_id", _let(known, lambda k: F.flatten(F.transform(words, lambda w: _lookup(k, w)))).alias("ids"))
         # -1 stands for a word that the literal has not.
         ids = _let(known, lambda k: F.flatten(F.transform(words, lambda w: F.coalesce(_lookup(k, w), F.array(F.lit(-1))))))
         rest = _let(known, lambda k: F.filter(words, lambda w: _lookup(k, w).isNull()))
