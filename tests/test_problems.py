@@ -5,7 +5,7 @@ import pytest
 
 from verdigris.operators.changefeed import current_rows, version_outcomes
 from verdigris.operators.datadiff import record_differences
-from verdigris.operators.hierarchy import all_descendants, ancestors_of, full_hierarchy, hierarchy_faults, links_of, resolve
+from verdigris.operators.hierarchy import all_descendants, ancestors_of, full_hierarchy, hierarchy_faults, join_block, links_of, resolve
 from verdigris.operators.hotkeys import dense_counts, heavy_key_counts, key_counts
 from verdigris.operators.orphans import orphan_counts, orphan_references, state_references
 
@@ -82,9 +82,9 @@ def expected(adds, deletes, lineage):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("index_nodes", [10_000, 0])
-def test_feed_against_the_rule(spark, seed, index_nodes):
-    if index_nodes == 0 and seed > 0:
+@pytest.mark.parametrize("block_nodes", [10_000, 5])
+def test_feed_against_the_rule(spark, seed, block_nodes):
+    if block_nodes == 5 and seed > 0:
         pytest.skip("one seed of the distributed walk is enough")
     rng = random.Random(seed)
     tree = [(0, 0, 0, None, None)] + [(s, rng.choice([0, *range(1, s)]) if s % 3 else s - 1, 1, None, None) for s in range(1, 15)]
@@ -100,9 +100,9 @@ def test_feed_against_the_rule(spark, seed, index_nodes):
     a, d, s = spark.createDataFrame(adds, ADDS), spark.createDataFrame(deletes, DELETES), states(spark, tree * 2)
     v = spark.createDataFrame([("DEFAULT", "sde", 3, T(2024, 1, 1)), ("DEFAULT", "sde", 14, T(2024, 2, 1)), ("DEFAULT", "x", 2, T(2025, 1, 1))], VERSIONS)
     rows, outcomes = expected([x for x in adds if x[1] is not None], deletes, lineage)
-    got = current_rows(a, d, s, 14, index_nodes).collect()
+    got = current_rows(a, d, s, 14, block_nodes=block_nodes).collect()
     assert {r.objectid: (r.state, r.image) for r in got} == rows and len(got) == len(rows)
-    assert {r.objectid: (r.outcome, r.edit_seq) for r in version_outcomes(a, d, s, v, index_nodes=index_nodes).collect()} == outcomes
+    assert {r.objectid: (r.outcome, r.edit_seq) for r in version_outcomes(a, d, s, v, block_nodes=block_nodes).collect()} == outcomes
 
 
 def test_feed_of_nothing(spark):
@@ -119,6 +119,7 @@ def test_feed_of_nothing(spark):
 
 @pytest.mark.parametrize("most", [1000, 3])
 def test_key_counts(spark, most):
+    sizes = {"block_keys": most, "split_keys": most}
     rows = [(7, i % 10, 1) for i in range(900)] + [(i, i, 1) for i in range(20)] + [(None, 1, 1), (None, 2, 1), (-5, None, 1), (-5, None, 1), (1 << 40, 3, 1)]
     df = spark.createDataFrame(rows, "k long, v long, key long").repartition(5)
     want = {}
@@ -129,15 +130,15 @@ def test_key_counts(spark, most):
             if v is not None:
                 seen.add(v)
     want = {k: (n, len(s)) for k, (n, s) in want.items()}
-    assert {r.key_id: (r.n_rows, r.n_distinct) for r in key_counts(df, "k", "v", most).collect()} == want
-    assert {r.key_id: (r.n_rows, r.n_distinct) for r in heavy_key_counts(df, "k", "v", 200, most).collect()} == {k: n for k, n in want.items() if n[0] * 200 >= len(rows)}
+    assert {r.key_id: (r.n_rows, r.n_distinct) for r in key_counts(df, "k", "v", **sizes).collect()} == want
+    assert {r.key_id: (r.n_rows, r.n_distinct) for r in heavy_key_counts(df, "k", "v", 200, **sizes).collect()} == {k: n for k, n in want.items() if n[0] * 200 >= len(rows)}
 
 
 def test_key_counts_of_nothing(spark):
     df = spark.createDataFrame([], "k long, v long")
     assert key_counts(df, "k", "v").collect() == [] and heavy_key_counts(df, "k", "v").collect() == []
     nulls = spark.createDataFrame([(None, 1)], "k long, v long")
-    assert dense_counts(nulls, "k", None).collect() == [] and heavy_key_counts(nulls, "k", "v").collect() == []
+    assert dense_counts(nulls, "k", 0).collect() == [] and heavy_key_counts(nulls, "k", "v").collect() == []
 
 
 # --- hierarchies ---
@@ -176,11 +177,11 @@ def test_resolve(spark, seed, n, block):
     assert {r.node: (r.kind, r.end_id, r.depth) for r in got} == {n: chain_end(parents, n) for n in parents} and len(got) == len(parents)
 
 
-@pytest.mark.parametrize("index_nodes", [1000, 0])
-def test_paths_and_descendants(spark, index_nodes):
-    parents = random_forest(7, 40)
+@pytest.mark.parametrize("block_nodes", [1000, 5])
+def test_paths_and_descendants(spark, block_nodes):
+    parents = random_forest(7, min(40, 3 * block_nodes))
     rows = spark.createDataFrame([(n, p, "x") for n, p in parents.items()] * 2 + [(None, 3, "x")], "state_id long, parent_state_id long, node string")
-    got = {r.node_id: r for r in full_hierarchy(rows, "state_id", "parent_state_id", block_nodes=30, index_nodes=index_nodes).collect()}
+    got = {r.node_id: r for r in full_hierarchy(rows, "state_id", "parent_state_id", block_nodes=block_nodes).collect()}
     assert set(got) == set(parents)
     rooted = {n: chain_end(parents, n)[2] for n in parents if chain_end(parents, n)[:2] == ("root", 0)}
     walks = {}
@@ -194,11 +195,11 @@ def test_paths_and_descendants(spark, index_nodes):
         assert r.n_descendants == (sum(n in w[:-1] for w in walks.values()) if n in walks else None)
 
 
-@pytest.mark.parametrize("index_nodes", [1000, 0])
-def test_unrooted_paths_and_descendants(spark, index_nodes):
-    parents = random_forest(7, 40) | {9001: 9003, 9002: 9001, 9003: 9002, 9004: 9002, 9005: 9004, 9006: 9005, 9007: 9007, 9008: 9007, 9010: 99_999, 9011: 9010, 9020: None, 9021: 9020, 9022: 9021}
+@pytest.mark.parametrize("block_nodes", [1000, 5])
+def test_unrooted_paths_and_descendants(spark, block_nodes):
+    parents = random_forest(7, min(40, 2 * block_nodes)) | {9001: 9003, 9002: 9001, 9003: 9002, 9004: 9002, 9005: 9004, 9006: 9005, 9007: 9007, 9008: 9007, 9010: 99_999, 9011: 9010, 9020: None, 9021: 9020, 9022: 9021}
     rows = spark.createDataFrame([(n, p) for n, p in parents.items()] * 2, "state_id long, parent_state_id long")
-    got = {r.node_id: r for r in full_hierarchy(rows, "state_id", "parent_state_id", block_nodes=30, index_nodes=index_nodes, unrooted=True).collect()}
+    got = {r.node_id: r for r in full_hierarchy(rows, "state_id", "parent_state_id", block_nodes=block_nodes, unrooted=True).collect()}
     assert set(got) == set(parents)
     above = {}
     for n in parents:
@@ -210,17 +211,17 @@ def test_unrooted_paths_and_descendants(spark, index_nodes):
         shown = chain[: depth + 1] if kind == "below" else chain
         assert (got[n].kind, got[n].root_id, got[n].depth, got[n].path) == (kind, end, depth, shown[::-1])
     pairs = {(a, n) for n in above for a in above[n]}
-    found = all_descendants(rows, "state_id", "parent_state_id", block_nodes=30, index_nodes=index_nodes).collect()
+    found = all_descendants(rows, "state_id", "parent_state_id", block_nodes=block_nodes).collect()
     assert {tuple(r) for r in found} == pairs and len(found) == len(pairs)
     assert {n: r.n_descendants for n, r in got.items()} == {n: sum(a == n for a, _ in pairs) for n in parents}
 
 
-@pytest.mark.parametrize("index_nodes", [1000, 0])
-def test_faults(spark, index_nodes):
+@pytest.mark.parametrize("block_nodes", [1000, 5])
+def test_faults(spark, block_nodes):
     tree = [(0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 2, 1), (4, 1, 4), (5, 4, 4), (10, 11, 7), (11, 10, 7), (12, 10, 7), (20, 98, 8), (21, 20, 8), (30, 30, 9)]
     s = states(spark, [(a, b, c, None, None) for a, b, c in tree] * 2)
     closure = spark.createDataFrame([(1, 3), (1, 2), (1, 0), (1, 5), (1, 5), (4, 1), (4, 2), (4, 77), (7, 1), (55, 1), (1, 10), (None, 1), (1, None)], "lineage_name long, lineage_id long")
-    got = hierarchy_faults(s, closure, index_nodes=index_nodes)
+    got = hierarchy_faults(s, closure, block_nodes=block_nodes)
     assert {tuple(r) for r in got.collect()} == {
         ("cycle", 10, 10, 2), ("cycle", 11, 10, 2), ("below_cycle", 12, 10, 1), ("detached", 20, 98, 1), ("detached", 21, 98, 2), ("cycle", 30, 30, 1),
         ("foreign_lineage", 1, 5, 3), ("foreign_lineage", 4, 2, 2),
@@ -228,6 +229,35 @@ def test_faults(spark, index_nodes):
     assert got.count() == 8
 
 
+def test_links_without_locality(spark):
+    """One chain through shuffled ids: no block holds two neighbours, and still every level shrinks."""
+    ids = random.Random(5).sample(range(1, 10_000), 60)
+    parents = dict(zip(ids, [0, *ids]))
+    links = spark.createDataFrame([(0, 0), *parents.items()], "node long, parent long")
+    got = {r.node: (r.kind, r.end_id, r.depth) for r in resolve(links, block_nodes=16).collect()}
+    assert got == {0: ("root", 0, 0)} | {n: ("root", 0, i + 1) for i, n in enumerate(ids)}
+
+
+def test_blocks_join_links():
+    """The disjoint-set forest of one block against walking."""
+    import numpy as np
+
+    for seed in range(5):
+        parents = random_forest(seed, 200)
+        node = np.array(list(parents), dtype=np.int64)
+        known = np.array([p is not None and n != 0 for n, p in parents.items()])
+        parent = np.array([p or 0 for p in parents.values()], dtype=np.int64)
+        order, _, top, steps, tangled, knot = join_block(node, parent, np.ones(len(node), dtype=np.int64), known)
+        ids = node[order]
+        for i, n in enumerate(ids.tolist()):
+            kind, end, depth = chain_end(parents, n)
+            assert tangled[i] == (kind in ("cycle", "below"))
+            if kind in ("root", "detached"):
+                assert steps[i] == depth - (kind == "detached") and (kind == "detached" or ids[top[i]] == end)
+        loops = {chain_end(parents, n)[1] for n in parents if chain_end(parents, n)[0] == "cycle"}
+        assert {chain_end(parents, n)[1] for n in ids[knot].tolist()} == loops and knot.sum() == len(loops)
+
+
 def test_hierarchy_of_nothing(spark):
     empty, closure = states(spark, []), spark.createDataFrame([], "lineage_name long, lineage_id long")
     assert hierarchy_faults(empty, closure).collect() == [] and full_hierarchy(empty, "state_id", "parent_state_id").collect() == []
@@ -236,7 +266,7 @@ def test_hierarchy_of_nothing(spark):
 def test_ancestors(spark):
     rows = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 2), (8, 9), (9, 8), (5, 66)], "s long, p long")
     links = links_of(rows, "s", "p")
-    for bound in (100, 0):
+    for bound in (100, 3):
         walk = lambda tip: sorted(r.state for r in ancestors_of(links, tip, 0, bound).collect())  # noqa: B023, E731
         assert [walk(t) for t in (3, 0, None, 9, 5, 777)] == [[1, 2, 3], [], [], [8, 9], [5], [777]]
 

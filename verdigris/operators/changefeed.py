@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.operators.hierarchy import INDEX_NODES, ancestors_of, links_of
+from verdigris.operators.hierarchy import BLOCK_NODES, ancestors_of, links_of
 
 
 def signed_images(changes: DataFrame) -> DataFrame:
@@ -71,19 +71,19 @@ def version_tip(versions: DataFrame, owner: str, name: str) -> int | None:
     return row[0]
 
 
-def current_rows(adds: DataFrame, deletes: DataFrame, states: DataFrame, tip: int | None, index_nodes: int = INDEX_NODES) -> DataFrame:
+def current_rows(adds: DataFrame, deletes: DataFrame, states: DataFrame, tip: int | None, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(objectid, state, image) that the version with `tip` shows: the images of positive multiplicity."""
-    lineage = ancestors_of(links_of(states, "state_id", "parent_state_id"), tip, 0, index_nodes)
+    lineage = ancestors_of(links_of(states, "state_id", "parent_state_id"), tip, 0, block_nodes)
     return signed_images(deduplicated_changes(adds, deletes, lineage)).filter("multiplicity > 0").select("objectid", "state", "image")
 
 
-def version_outcomes(adds: DataFrame, deletes: DataFrame, states: DataFrame, versions: DataFrame, owner: str = "sde", name: str = "DEFAULT", index_nodes: int = INDEX_NODES) -> DataFrame:
+def version_outcomes(adds: DataFrame, deletes: DataFrame, states: DataFrame, versions: DataFrame, owner: str = "sde", name: str = "DEFAULT", block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(objectid, outcome, edit_seq): how the version differs from the base rows.
 
     `insert`: an added row shows and there is no base row; `update`: it shows in place of a base row; `delete`: a base row exists and nothing shows,
     edit_seq 0. All from the signed multiset of the objects, grouped once more by object without another shuffle. No tip: no rows but none hidden.
     """
-    lineage = ancestors_of(links_of(states, "state_id", "parent_state_id"), version_tip(versions, owner, name), 0, index_nodes)
+    lineage = ancestors_of(links_of(states, "state_id", "parent_state_id"), version_tip(versions, owner, name), 0, block_nodes)
     signed = signed_images(deduplicated_changes(adds, deletes, lineage))
     shown = F.col("multiplicity") > 0
     objects = signed.groupBy("objectid").agg(

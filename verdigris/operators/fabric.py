@@ -6,11 +6,13 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.operators.hierarchy import INDEX_NODES, ancestors_of, links_of
+from verdigris.operators.hierarchy import ancestors_of, links_of
 from verdigris.session import cut_lineage
 
 #: The base state: never a member of a lineage, never collapsed into, never pruned.
 ROOT = 0
+#: Up to so many states the tree is held on the driver.
+INDEX_NODES = 4_000_000
 
 
 class NoCommonAncestorError(ValueError):
@@ -48,7 +50,7 @@ class StateTree:
         for tip in tips:
             if tip is None or tip == ROOT or tip in parents:
                 continue
-            chain = ancestors_of(links, int(tip), ROOT, most).withColumnRenamed("state", "node")
+            chain = ancestors_of(links, int(tip), ROOT).withColumnRenamed("state", "node")
             parents |= _parents(links.join(chain, "node", "left_semi").limit(most + 1).toPandas())
             if len(parents) > most:
                 raise ValueError(f"more than {most} states in the lineages")

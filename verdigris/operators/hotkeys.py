@@ -1,121 +1,137 @@
 """Counts per key where a few keys hold most rows: dense accumulator arrays instead of groups.
 
-Keys become codes of a sorted dictionary. Every input split, whose size has nothing to do with its keys, adds up its own array by bincount, and the
-arrays are summed block by block in two rounds. So no task ever sees the rows of a key together.
+Every input split, whose size has nothing to do with its keys, encodes its keys by a dictionary of its own and adds up an array over the codes by
+bincount. The keys are cut into blocks by a hash; the split sends its array block by block, as sorted keys with their counts. A block's arrays are
+summed in two rounds, by scattering them onto the dictionary of the block. So no task ever sees the rows of a key together, no task or driver holds the
+whole dictionary, and any number of keys is counted in the same way.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Codes in a block of an accumulator array.
-BLOCK_CODES = 4096
-#: Up to so many keys (8 bytes each) the dictionary is broadcast; beyond, every split has its own.
-DICTIONARY_KEYS = 8_000_000
-#: Groups into which the arrays of all splits are first summed.
+from verdigris.session import shuffle_partitions
+
+#: Keys that a block of the accumulator arrays holds on average.
+BLOCK_KEYS = 4096
+#: Keys that a split holds at once; it then sends its arrays and begins new ones.
+SPLIT_KEYS = 1_000_000
+#: Least number of groups into which the arrays of all splits are first summed.
 FAN_IN = 32
+_BLOCKS = "block int, part int, keys array<long>, counts array<long>"
+#: Fixed value: an odd multiplier that spreads neighbouring keys.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def key_dictionary(rows: DataFrame, key: str, most: int = DICTIONARY_KEYS) -> np.ndarray | None:
-    """All distinct non-null keys in ascending order, or None if there are more than `most`."""
-    distinct = rows.select(F.col(key).cast("long").alias("key")).filter("key is not null").distinct().limit(most + 1).toPandas()
-    return None if len(distinct) > most else np.sort(distinct.key.to_numpy(dtype=np.int64))
+def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return (((keys.astype(np.uint64) * _SPREAD) >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
 
 
-def dense_counts(rows: DataFrame, key: str, dictionary: np.ndarray | None) -> DataFrame:
-    """(key, n): the number of rows for each key of the dictionary that has any; other and null keys are not counted."""
-    keys = rows.select(F.col(key).cast("long").alias("key")).filter("key is not null")
-    if dictionary is None:
-        return _split_dictionaries(keys)
-    if not len(dictionary):
-        return keys.sparkSession.createDataFrame([], "key long, n long")
-    shared = keys.sparkSession.sparkContext.broadcast(dictionary)
+def _scattered(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The dictionary of `keys` in ascending order and the sums of `counts` over its codes."""
+    dictionary, codes = np.unique(keys, return_inverse=True)
+    sums = np.zeros(len(dictionary), dtype=np.int64)
+    np.add.at(sums, codes, counts)
+    return dictionary, sums
 
-    def accumulate(batches):
-        codes, total = shared.value, None
-        for batch in batches:
-            values = batch.column(0).to_numpy()
-            at = np.minimum(np.searchsorted(codes, values), len(codes) - 1)
-            counted = np.bincount(at[codes[at] == values], minlength=len(codes))
-            total = counted if total is None else total + counted
-        if total is None:
-            return
-        split = TaskContext.get().partitionId() % FAN_IN
-        padded = np.pad(total, (0, -len(total) % BLOCK_CODES)).reshape(-1, BLOCK_CODES)
-        for block in np.flatnonzero(padded.any(axis=1)):
-            counts = pa.ListArray.from_arrays(pa.array([0, BLOCK_CODES], pa.int32()), pa.array(padded[block], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([split], pa.int32()), counts], names=["block", "part", "counts"])
 
-    def add_up(group: pa.Table) -> pa.Table:
-        arrays = group.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, BLOCK_CODES).sum(axis=0)
-        counts = pa.ListArray.from_arrays(pa.array([0, BLOCK_CODES], pa.int32()), pa.array(arrays, pa.int64()))
-        return pa.table([group.column("block").slice(0, 1), group.column("part").slice(0, 1), counts], names=["block", "part", "counts"])
+def _arrays(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The dictionary and accumulator array of a split, several if it has more than `most` keys."""
+    keys, totals = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    for batch in batches:
+        values = batch.column(0).to_numpy()
+        if not len(values):
+            continue
+        codes = np.minimum(np.searchsorted(keys, values), max(len(keys) - 1, 0))
+        known = keys[codes] == values if len(keys) else np.zeros(len(values), dtype=bool)
+        if known.any():
+            totals += np.bincount(codes[known], minlength=len(keys))
+        if not known.all():
+            more, counts = np.unique(values[~known], return_counts=True)
+            keys, totals = _scattered(np.concatenate([keys, more]), np.concatenate([totals, counts]))
+            if len(keys) > most:
+                yield keys, totals
+                keys, totals = keys[:0], totals[:0]
+    if len(keys):
+        yield keys, totals
 
-    def decode(group: pa.Table) -> pa.Table:
-        counts = group.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, BLOCK_CODES).sum(axis=0)
-        first = group.column("block")[0].as_py() * BLOCK_CODES
-        present = np.flatnonzero(counts)
-        return pa.table([pa.array(shared.value[first + present]), pa.array(counts[present])], names=["key", "n"])
 
-    blocks = keys.mapInArrow(accumulate, "block long, part int, counts array<long>")
-    halves = blocks.groupBy("block", "part").applyInArrow(add_up, "block long, part int, counts array<long>")
-    return halves.groupBy("block").applyInArrow(decode, "key long, n long")
+def _row(block: int, part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array([0, len(keys)], pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.int64())) for v in (keys, counts)]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), *lists], names=["block", "part", "keys", "counts"])
+
 
+def _flat(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(group.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "counts"))
 
-def _split_dictionaries(keys: DataFrame) -> DataFrame:
-    """The same for a dictionary too large to share: each split encodes its keys by itself and sends every key once a batch of counts."""
+
+def dense_counts(rows: DataFrame, key: str, n_keys: int, block_keys: int = BLOCK_KEYS, split_keys: int = SPLIT_KEYS) -> DataFrame:
+    """(key, n): the number of rows for each non-null key. `n_keys`, which may be rough, sets the number of blocks and nothing else."""
+    keys = rows.select(F.col(key).cast("long").alias("key")).filter("key is not null")
+    blocks = max(1, math.ceil(n_keys / block_keys))
+    # As many groups as a group has arrays.
+    fan_in = max(FAN_IN, math.isqrt(shuffle_partitions(rows.sparkSession)))
 
     def accumulate(batches):
-        held: list[pd.Series] = []
-        for batch in batches:
-            values, counts = np.unique(batch.column(0).to_numpy(), return_counts=True)
-            held.append(pd.Series(counts, index=values))
-            if sum(map(len, held)) > BLOCK_CODES * 64:
-                held = [pd.concat(held).groupby(level=0).sum()]
-                if len(held[0]) > BLOCK_CODES * 32:
-                    yield _counted(held.pop())
-        if held:
-            yield _counted(pd.concat(held).groupby(level=0).sum())
+        part = TaskContext.get().partitionId() % fan_in
+        for own, totals in _arrays(batches, split_keys):
+            block = _block_of(own, blocks)
+            order = np.argsort(block, kind="stable")
+            starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            for at in np.split(order, starts[1:]):
+                yield _row(block[at[0]], part, own[at], totals[at])
+
+    def add_up(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_row(group.column("block")[0].as_py(), group.column("part")[0].as_py(), *_scattered(*_flat(group)))])
 
-    return keys.mapInArrow(accumulate, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def decode(group: pa.Table) -> pa.Table:
+        dictionary, sums = _scattered(*_flat(group))
+        return pa.table([pa.array(dictionary), pa.array(sums)], names=["key", "n"])
+
+    arrays = keys.mapInArrow(accumulate, _BLOCKS)
+    halves = arrays.groupBy("block", "part").applyInArrow(add_up, _BLOCKS)
+    return halves.groupBy("block").applyInArrow(decode, "key long, n long")
 
 
-def _counted(series: pd.Series) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(series.index.to_numpy(dtype=np.int64)), pa.array(series.to_numpy(dtype=np.int64))], names=["key", "n"])
+def _rough_keys(rows: DataFrame, key: str) -> tuple[int, int]:
+    """(all rows, distinct keys about)."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.col(key)).alias("keys")).first()
+    return found.n, found["keys"]
 
 
-def key_counts(rows: DataFrame, key: str, counted: str, most: int = DICTIONARY_KEYS) -> DataFrame:
+def key_counts(rows: DataFrame, key: str, counted: str, **sizes) -> DataFrame:
     """(key_id, n_rows, n_distinct) of every non-null key: all its rows, and its distinct non-null values of `counted`.
 
     Distinct pairs are spread by key and value, so a hot key's values are on all tasks; their number is again a dense count. Empty input: no rows.
     """
-    dictionary = key_dictionary(rows, key, most)
-    return _joined(rows, key, counted, dense_counts(rows, key, dictionary), dictionary)
+    _, n_keys = _rough_keys(rows, key)
+    return _joined(rows, key, counted, dense_counts(rows, key, n_keys, **sizes), n_keys, sizes)
 
 
-def heavy_key_counts(rows: DataFrame, key: str, counted: str, parts: int = 200, most: int = DICTIONARY_KEYS) -> DataFrame:
+def heavy_key_counts(rows: DataFrame, key: str, counted: str, parts: int = 200, **sizes) -> DataFrame:
     """The key_counts of the keys that hold at least 1/`parts` of all rows, of which there are at most `parts`.
 
     Rows with a null key count among all rows. Distinct values are gathered for these keys only.
     """
-    dictionary = key_dictionary(rows, key, most)
-    total = rows.count()
-    heavy = dense_counts(rows, key, dictionary).filter(F.col("n") * parts >= total).toPandas().astype("int64")
-    found = np.sort(heavy.key.to_numpy(dtype=np.int64))
+    total, n_keys = _rough_keys(rows, key)
+    heavy = dense_counts(rows, key, n_keys, **sizes).filter(F.col("n") * parts >= total).toPandas().astype("int64")
     spark = rows.sparkSession
     counts = spark.createDataFrame(heavy, "key long, n long") if len(heavy) else spark.createDataFrame([], "key long, n long")
-    chosen = rows.filter(F.col(key).isin(found.tolist())) if len(found) else rows.limit(0)
-    return _joined(chosen, key, counted, counts, found)
+    chosen = rows.filter(F.col(key).isin(sorted(heavy.key.tolist()))) if len(heavy) else rows.limit(0)
+    return _joined(chosen, key, counted, counts, len(heavy), sizes)
 
 
-def _joined(rows: DataFrame, key: str, counted: str, counts: DataFrame, dictionary: np.ndarray | None) -> DataFrame:
+def _joined(rows: DataFrame, key: str, counted: str, counts: DataFrame, n_keys: int, sizes: dict) -> DataFrame:
     pairs = rows.select(F.col(key).alias("pair_key"), F.col(counted).alias("pair_value")).filter("pair_key is not null and pair_value is not null").distinct()
-    distinct = dense_counts(pairs, "pair_key", dictionary).withColumnRenamed("n", "n_distinct")
+    distinct = dense_counts(pairs, "pair_key", n_keys, **sizes).withColumnRenamed("n", "n_distinct")
     return counts.join(distinct, "key", "left").select(
         F.col("key").alias("key_id"), F.col("n").alias("n_rows"), F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct")
     )
