@@ -1,12 +1,13 @@
 import threading
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators.compaction import CompactionRefused
 from verdigris.operators.fabric import FeatureTable
-from verdigris.operators.merging import ConcurrentChangeError, NotReconciledError, ReconcileOptions
+from verdigris.operators.merging import ConcurrentChangeError, NotReconciledError, OpenSessionError, ReconcileOptions
 from verdigris.sources.editing import SessionClosedError
 from verdigris.sources.geodatabase import QueryOptions, create_geodatabase, jdbc_table, open_geodatabase, parse_connection_string
 from verdigris.sources.store import LockTimeoutError, ReadWriteLock, SnapshotMovedError, file_lock, stale_locks
@@ -100,6 +101,67 @@ def test_compaction_waits_for_editors(gdb):
         assert gdb.compact(acknowledge_experimental_unsafe=True, wait_seconds=0.1).deferred == "editors-active"
 
 
+def test_ids_are_given_out_once(gdb):
+    for name in ("a", "b"):
+        gdb.create_version(name)
+    one, two = gdb.edit("sde.a"), gdb.edit("sde.b")
+    ids = [one.insert("parcels", {"val": "a"}), two.insert("parcels", {"val": "b"}), *two.insert_many("parcels", [{}, {}]), one.insert("parcels", {})]
+    assert len(set(ids)) == 5 and one.current_state_id != two.current_state_id
+    two.save()
+    one.save()
+    assert gdb.open_table("parcels").insert({"val": "base"}) > max(ids)
+    gdb.refresh()
+    assert gdb.fabric.tables["parcels"].adds.groupBy("objectid").count().filter("count > 1").isEmpty()
+
+
+def test_states_are_never_used_again(gdb):
+    gdb.create_version("a")
+    with gdb.edit_transaction("sde.a") as s:
+        s.update("parcels", 1, {"val": "x"})
+        dead = s.current_state_id
+    gdb.delete_version("sde.a")
+    assert gdb.compact(acknowledge_experimental_unsafe=True).states_removed == 1
+    with gdb.edit_transaction() as s:
+        s.update("parcels", 1, {"val": "y"})
+        assert s.current_state_id > dead
+
+
+def test_an_open_session_locks_its_state(gdb):
+    gdb.create_version("a")
+    with gdb.edit_transaction() as s:
+        s.update("parcels", 3, {"val": "parent"})
+    with gdb.edit("sde.a") as s:
+        s.update("parcels", 1, {"val": "x"})
+        gdb.refresh()
+        assert [r.state_id for r in gdb.fabric.locks.collect()] == [s.current_state_id] and not gdb.fabric.states.filter(F.col("state_id") == s.current_state_id).isEmpty()
+    gdb.refresh()
+    assert gdb.fabric.locks.isEmpty() and gdb.fabric.states.filter(F.col("state_id") == s.current_state_id).isEmpty() and s.state == "closed"
+    with gdb.edit_transaction("sde.a") as s:
+        s.update("parcels", 1, {"val": "x"})
+    with gdb.edit("sde.a"), pytest.raises(OpenSessionError):
+        gdb.rebase_version("sde.a", unsafe_experimental=True)
+
+
+def test_an_edit_writes_its_own_rows_only(spark, tmp_path):
+    base = spark.range(1, 20_001).selectExpr("id as objectid", "repeat(uuid(), 4) as val")
+    adds = spark.range(1, 20_001).selectExpr("id as objectid", "0L as sde_state_id", "repeat(uuid(), 4) as val").filter("objectid > 10000")
+    deletes = spark.createDataFrame([], "sde_deletes_row_id long, sde_state_id long, deleted_at long")
+    big = create_geodatabase(spark, str(tmp_path / "big"), {"t": FeatureTable("t", base, adds, deletes, 5)})
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "big").rglob("*.parquet"))
+    before = size()
+    with big.edit_transaction() as s:
+        s.update("t", 7, {"val": "x"})
+    assert before > 1_000_000 and size() - before < 60_000
+    assert big.open_table("t").query(QueryOptions(version="DEFAULT", where="objectid = 7")).first().val == "x"
+    assert big.store.clean(0) > 0 and big.open_table("t").query(QueryOptions(version="DEFAULT")).count() == 20_000
+    one = big.store.read()
+    big.store.commit(one, one.fabric)
+    folders = {p.name for p in (tmp_path / "big").iterdir()}
+    with pytest.raises(SnapshotMovedError):
+        big.store.commit(one, replace(one.fabric, versions=one.fabric.versions.filter("false")))
+    assert {p.name for p in (tmp_path / "big").iterdir()} == folders, "a refused commit leaves nothing"
+
+
 def test_transactions(gdb):
     table = gdb.open_table("parcels")
     with gdb.transaction():
@@ -129,7 +191,13 @@ def test_rebase_and_revert(gdb):
     assert gdb.rebase_version("sde.v1", dry_run=True).outcomes == {"replay": 1}
     with pytest.raises(PermissionError):
         gdb.rebase_version("sde.v1")
-    gdb.rebase_version("sde.v1", unsafe_experimental=True)
+    before = {(r.objectid, r.sde_state_id) for r in gdb.fabric.tables["parcels"].adds.collect()}
+    done = gdb.rebase_version("sde.v1", unsafe_experimental=True)
+    tip, parent = done.new_state_id, gdb.fabric.tip("sde.DEFAULT")
+    assert {(r.objectid, r.sde_state_id) for r in gdb.fabric.tables["parcels"].adds.collect()} - before == {(1, tip)}
+    assert [r.sde_state_id for r in gdb.fabric.tables["parcels"].deletes.collect() if r.sde_state_id == tip] == [], "an update needs no marker"
+    assert {r.lineage_id for r in gdb.fabric.lineages.filter(F.col("lineage_name") == tip).collect()} == {0, parent, tip}
+    assert gdb.rebase_version("sde.v1").already_current
     assert values(gdb, "sde.v1") == {1: "child", 2: "v2", 3: "parent", 4: "v4", 5: "v5"}
 
 
@@ -149,7 +217,9 @@ def test_versions(gdb):
         gdb.set_current_version("nobody")
     gdb.stop_editing()
     view = gdb.register_version_view("parcels", "sde.A")
-    handle = gdb.open_view(f"x.{view}")
+    with pytest.raises(KeyError):
+        gdb.open_view(f"x.{view}")
+    handle = gdb.open_view(view)
     assert handle.read_only and handle.count() == 5
     with pytest.raises(PermissionError):
         handle.insert({})

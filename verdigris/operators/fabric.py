@@ -141,6 +141,8 @@ class Fabric:
     locks: DataFrame
     tables: dict[str, FeatureTable] = field(default_factory=dict)
     modified: DataFrame | None = None
+    #: State ids below this one have been given out, even if their states are gone.
+    next_state: int = 0
 
     @property
     def spark(self) -> SparkSession:
@@ -169,6 +171,14 @@ class Fabric:
         return int(version.state_id or ROOT)
 
 
+def append_rows(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """`rows` and `more`; a store that has `rows` then writes `more` only."""
+    more = more.select(*rows.columns)
+    joined = rows.unionByName(more)
+    joined.appended = (rows, more)
+    return joined
+
+
 def state_set(spark: SparkSession, states) -> DataFrame:
     """State ids as a table; its size is known to the planner, which broadcasts it if it is small."""
     import pandas as pd

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators.changes import all_changes, count_changes, table_changes
 from verdigris.operators.conflicts import classify_changes, conflicts, detailed_conflicts
-from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, StateTree, state_set
+from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, StateTree, append_rows, state_set
 from verdigris.operators.versioned import newest_adds, of_states
 
 
@@ -63,13 +63,6 @@ def delete_markers(table: FeatureTable, objects: DataFrame, target: int) -> Data
     return objects.select(*[values[c.lower()].alias(c) if c.lower() in values else F.lit(None).alias(c) for c in table.deletes.columns])
 
 
-def supersede_markers(table: FeatureTable, objects: DataFrame, parent_states: DataFrame, target: int) -> DataFrame:
-    """Markers of the state of the parent's newest add of each object, or the root state, deleted at `target`."""
-    newest = newest_adds(table, parent_states).select("objectid", F.col("sde_state_id").alias("at"))
-    rows = objects.select("objectid").join(newest, "objectid", "left")
-    return rows.select(F.col("objectid").alias("sde_deletes_row_id"), F.coalesce("at", F.lit(ROOT)).cast("long").alias("sde_state_id"), F.lit(target).cast("long").alias("deleted_at"))
-
-
 def without_rows(table: FeatureTable, objects: DataFrame, state: int) -> FeatureTable:
     """The table without the deltas of these objects at one state."""
     ids = objects.select(F.col("objectid").alias("__oid"))
@@ -91,7 +84,7 @@ def apply_changes(table: FeatureTable, changes: DataFrame, target: int) -> Featu
     rows = table.adds.join(source, (F.col("objectid") == F.col("__oid")) & (F.col("sde_state_id") == F.col("__from")))
     rows = rows.withColumn("sde_state_id", F.lit(target).cast("long")).select(*table.adds.columns)
     marked = updates.select("objectid").unionByName(changes.filter("change_type = 'delete'").select("objectid"))
-    return replace(table, adds=table.adds.unionByName(rows), deletes=table.deletes.unionByName(delete_markers(table, marked, target)))
+    return replace(table, adds=append_rows(table.adds, rows), deletes=append_rows(table.deletes, delete_markers(table, marked, target)))
 
 
 def parent_of(fabric: Fabric, version) -> str:
@@ -182,13 +175,11 @@ def add_to_lineage(fabric: Fabric, state: int, members: DataFrame) -> Fabric:
         return fabric
     new = members.select(F.lit(row.lineage_name).cast("long").alias("lineage_name"), F.col("state").alias("lineage_id"))
     new = new.join(fabric.lineages, ["lineage_name", "lineage_id"], "left_anti")
-    return replace(fabric, lineages=fabric.lineages.select("lineage_name", "lineage_id").unionByName(new))
+    return replace(fabric, lineages=append_rows(fabric.lineages, new))
 
 
 def is_reconciled(fabric: Fabric, child: int, parent: int) -> bool:
-    """Whether the closure of the child's lineage has the parent's tip; a parent at the root needs none."""
-    if parent == ROOT:
-        return True
+    """Whether the closure of the child's lineage has the parent's tip."""
     name = fabric.states.filter(F.col("state_id") == child).select("lineage_name")
     return not fabric.lineages.filter(F.col("lineage_id") == parent).join(name, "lineage_name", "left_semi").isEmpty()
 
@@ -218,25 +209,44 @@ def _set_tip(fabric: Fabric, name: str, state: int) -> Fabric:
     return replace(fabric, versions=fabric.versions.withColumn("state_id", F.when(same, F.lit(state).cast("long")).otherwise(F.col("state_id"))))
 
 
-def child_state(fabric: Fabric, parent: int, new_id: int) -> Fabric:
-    """A new state below `parent`. The first child of a state that is its lineage's last continues the lineage, another one copies its closure."""
+def child_state(fabric: Fabric, parent: int, new_id: int, own_lineage: DataFrame | None = None) -> Fabric:
+    """A new state below `parent`. The first child of a state that is its lineage's last continues the lineage, another one copies its closure.
+
+    With `own_lineage` (state) the state begins a lineage of its own, whose closure has these states, the root and itself.
+    """
     row = fabric.states.filter(F.col("state_id") == parent).select("lineage_name").first()
     lineage = int(row.lineage_name) if row is not None else ROOT
-    has_child = not fabric.states.filter((F.col("parent_state_id") == parent) & (F.col("state_id") != ROOT)).isEmpty()
-    spark = fabric.spark
-    branch = parent == ROOT or has_child
-    name = new_id if branch else lineage
+    has_child = own_lineage is not None or parent == ROOT or not fabric.states.filter((F.col("parent_state_id") == parent) & (F.col("state_id") != ROOT)).isEmpty()
+    name, spark = new_id if has_child else lineage, fabric.spark
     values = {"state_id": new_id, "parent_state_id": parent, "lineage_name": name}
     state = spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in fabric.states.schema.fields])
-    members = spark.createDataFrame([(name, new_id)], "lineage_name long, lineage_id long")
-    if branch:
-        members = members.unionByName(fabric.lineages.filter((F.col("lineage_name") == lineage) & (F.col("lineage_id") <= parent)).select(F.lit(name).cast("long").alias("lineage_name"), "lineage_id"))
-    lineages = fabric.lineages.select("lineage_name", "lineage_id").unionByName(members).distinct()
-    return replace(fabric, states=fabric.states.unionByName(state), lineages=lineages)
+    members = spark.range(1).select(F.lit(new_id).cast("long").alias("lineage_id"))
+    if own_lineage is not None:
+        members = members.union(spark.range(1).select(F.lit(ROOT).cast("long"))).union(own_lineage.select("state"))
+    elif has_child:
+        members = members.union(fabric.lineages.filter((F.col("lineage_name") == lineage) & (F.col("lineage_id") <= parent)).select("lineage_id"))
+    closure = members.distinct().select(F.lit(name).cast("long").alias("lineage_name"), "lineage_id")
+    return replace(fabric, states=append_rows(fabric.states, state), lineages=append_rows(fabric.lineages, closure), next_state=max(fabric.next_state, new_id + 1))
+
+
+def delete_child_state(fabric: Fabric, state: int) -> Fabric:
+    """Takes away a state without children: its locks, deltas, closure rows and itself; one with children is refused."""
+    if not fabric.states.filter((F.col("parent_state_id") == state) & (F.col("state_id") != state)).isEmpty():
+        raise ValueError(f"state {state} has children")
+
+    def without(rows: DataFrame, column: str) -> DataFrame:
+        return rows.filter(F.coalesce(F.col(column) != state, F.lit(True)))
+
+    tables = {n: t if t.adds.filter(F.col("sde_state_id") == state).isEmpty() and t.deletes.filter(F.col("sde_state_id") == state).isEmpty() else replace(t, adds=without(t.adds, "sde_state_id"), deletes=without(t.deletes, "sde_state_id")) for n, t in fabric.tables.items()}
+    lineages = without(fabric.lineages, "lineage_id").filter(F.coalesce(F.col("lineage_name") != state, F.lit(True)))
+    return replace(fabric, states=without(fabric.states, "state_id"), locks=without(fabric.locks, "state_id"), lineages=lineages, tables=tables)
 
 
 def next_state_id(fabric: Fabric) -> int:
-    return int(fabric.states.agg(F.max("state_id")).first()[0] or 0) + 1
+    """A state id that has never been given out: neither a state has it nor, of states that are gone, the closure."""
+    of_states = fabric.states.agg(F.max("state_id")).first()[0] or 0
+    closure = fabric.lineages.agg(F.max("lineage_name").alias("a"), F.max("lineage_id").alias("b")).first()
+    return max(fabric.next_state, int(max(of_states, closure.a or 0, closure.b or 0)) + 1)
 
 
 def post(fabric: Fabric, name: str, trim: bool = False, delete_version: bool = False) -> tuple[Fabric, PostResult]:
@@ -259,11 +269,11 @@ def post(fabric: Fabric, name: str, trim: bool = False, delete_version: bool = F
             changes = table_changes(table, own)
             added = tip_rows(table, own, changes.filter("change_type <> 'delete'"), tip)
             markers = delete_markers(table, changes.filter("change_type = 'delete'").select("objectid"), tip)
-            fabric = fabric.with_table(replace(table, adds=table.adds.unionByName(added), deletes=table.deletes.unionByName(markers)))
+            fabric = fabric.with_table(replace(table, adds=append_rows(table.adds, added), deletes=append_rows(table.deletes, markers)))
     fabric = _set_tip(fabric, parent_of(fabric, version), tip)
     for table in list(fabric.tables.values()):
         markers = shadow_markers(fabric, table, tip, parent)
-        fabric = fabric.with_table(replace(table, deletes=table.deletes.unionByName(markers.select(*table.deletes.columns))))
+        fabric = fabric.with_table(replace(table, deletes=append_rows(table.deletes, markers)))
     if delete_version:
         fabric = replace(fabric, versions=fabric.versions.filter(~((F.col("owner") == version.owner) & (F.col("name") == version["name"]))))
     return fabric, PostResult(posted, tip)
@@ -312,12 +322,27 @@ class RebaseResult:
     already_current: bool = False
 
 
+class OpenSessionError(RuntimeError):
+    code = "OPEN_SESSION"
+
+
+def has_open_session(fabric: Fabric, tip: int) -> bool:
+    """Whether a locked state branches off the tip."""
+    below = fabric.states.filter((F.col("parent_state_id") == tip) & (F.col("state_id") != tip)).select("state_id")
+    return not fabric.locks.join(below, fabric.locks["state_id"] == below["state_id"], "left_semi").isEmpty()
+
+
 def rebase(fabric: Fabric, name: str, dry_run: bool = False, unsafe_experimental: bool = False, accept_conflicts: bool = False) -> tuple[Fabric, RebaseResult]:
-    """Puts the version's net changes on a new state below the parent's present tip. Writes only with `unsafe_experimental`, and over conflicts only if accepted."""
+    """Puts the version's net changes on a new state below the parent's present tip. Writes only with `unsafe_experimental`, and over conflicts only if accepted.
+
+    Kept rows become adds of the new state, which need no markers, since the newest add shows; only deletes become markers. The state has a lineage of its
+    own, whose closure is the parent's whole walk, so that the version counts as reconciled. With an edit session open on the version it is refused.
+    """
     tree, child, parent, ancestor = ranges(fabric, name)
     if child == parent or (ancestor == parent and is_reconciled(fabric, child, parent)):
         return fabric, RebaseResult({}, already_current=True)
-    sets = [state_set(fabric.spark, s) for s in (tree.states_in_range(child, ancestor), tree.walk(child), tree.walk(ancestor), tree.walk(parent))]
+    above = state_set(fabric.spark, tree.walk(parent))
+    sets = [*[state_set(fabric.spark, s) for s in (tree.states_in_range(child, ancestor), tree.walk(child), tree.walk(ancestor))], above]
     classified = {n: classify_changes(t, *sets) for n, t in fabric.tables.items()}
     outcomes: dict[str, int] = {}
     for found in classified.values():
@@ -330,14 +355,15 @@ def rebase(fabric: Fabric, name: str, dry_run: bool = False, unsafe_experimental
         raise PermissionError("a rebase that writes must be asked for as unsafe and experimental")
     if not accept_conflicts and any(k.startswith("conflict") for k in outcomes):
         raise RuntimeError("the rebase has conflicts")
+    if has_open_session(fabric, child):
+        raise OpenSessionError(name)
     tip = next_state_id(fabric)
-    fabric = child_state(fabric, parent, tip)
+    fabric = child_state(fabric, parent, tip, above)
     for n, found in classified.items():
         table = fabric.tables[n]
         kept = found.filter("outcome in ('replay', 'conflict_add')").select("objectid")
         gone = found.filter("outcome in ('delete', 'conflict_delete')").select("objectid")
-        added = tip_rows(table, sets[1], kept, tip)
-        markers = supersede_markers(table, kept, sets[3], tip).select(*table.deletes.columns).unionByName(delete_markers(table, gone, tip))
-        fabric = fabric.with_table(replace(table, adds=table.adds.unionByName(added), deletes=table.deletes.unionByName(markers)))
+        added, markers = tip_rows(table, sets[1], kept, tip), delete_markers(table, gone, tip)
+        fabric = fabric.with_table(replace(table, adds=append_rows(table.adds, added), deletes=append_rows(table.deletes, markers)))
     result.new_state_id = tip
     return _set_tip(fabric, name, tip), result

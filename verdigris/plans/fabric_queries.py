@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdigris.operators import changes, compaction, conflicts, merging, versioned
 from verdigris.operators.fabric import Fabric, FeatureTable, state_set
 from verdigris.plans.fabric_data import TABLE, load_fabric
+from verdigris.sources.catalog import list_versions
 
 V_A, V_B, V_ORPHAN = "editor.V_A", "editor.V_B", "editor.V_ORPHAN"
 
@@ -97,19 +98,18 @@ def _ids(fabric: Fabric, states, column: str = "state_id") -> DataFrame:
     return _states(fabric, states).withColumnRenamed("state", column)
 
 
-def _reconciled(fabric: Fabric) -> Fabric:
-    options = merging.ReconcileOptions(conflict_resolution="favor_target", auto_merge=False)
+def _reconciled(fabric: Fabric, conflict_resolution: str = "favor_target", auto_merge: bool | None = None) -> Fabric:
+    options = merging.ReconcileOptions(conflict_resolution=conflict_resolution, auto_merge=conflict_resolution == "favor_edit" if auto_merge is None else auto_merge)
     return merging.reconcile(fabric, V_A, options)[0]
 
 
-def _posted(fabric: Fabric) -> Fabric:
+def _posted(fabric: Fabric, trim: bool = True) -> Fabric:
     ready = merging.add_to_lineage(fabric, 15, _states(fabric, fabric.tree().walk(10)))
-    return merging.post(ready, V_A, trim=True)[0]
+    return merging.post(ready, V_A, trim=trim)[0]
 
 
-def _rebased(fabric: Fabric) -> DataFrame:
-    done, _ = merging.rebase(fabric, V_A, unsafe_experimental=True, accept_conflicts=True)
-    return versioned.read_version(done, TABLE, V_A)
+def _rebased(fabric: Fabric) -> Fabric:
+    return merging.rebase(fabric, V_A, unsafe_experimental=True, accept_conflicts=True)[0]
 
 
 def _reverted(fabric: Fabric) -> FeatureTable:
@@ -138,7 +138,7 @@ _PLANS = {
     "closure_read_v_b": lambda f: versioned.read_closure(f, TABLE, V_B),
     "rows_at_state": lambda f: versioned.rows_at_state(f.tables[TABLE], 6, _states(f, f.tree().walk(15))),
     "feature_at_state": lambda f: versioned.feature_at_state(f.tables[TABLE], 7, 6, _states(f, f.tree().walk(15))),
-    "list_versions": lambda f: f.versions.select("owner", "name", "parent_name", "state_id").orderBy("name"),
+    "list_versions": lambda f: list_versions(f.versions).select("owner", "name", "parent_name", "state_id"),
     "state_walks": _walks,
     "common_ancestors": _ancestors,
     "states_in_range": lambda f: _ids(f, f.tree().states_in_range(15, 6)),
@@ -180,7 +180,15 @@ _PLANS = {
     "reconcile_deletes": lambda f: _reconciled(f).tables[TABLE].deletes,
     "reconcile_lineages": lambda f: _reconciled(f).lineages,
     "post_trim_visible": lambda f: versioned.read_version(_posted(f), TABLE, "sde.DEFAULT"),
-    "rebase_visible": _rebased,
+    "rebase_visible": lambda f: versioned.read_version(_rebased(f), TABLE, V_A),
+    "rebase_adds": lambda f: _rebased(f).tables[TABLE].adds,
+    "rebase_deletes": lambda f: _rebased(f).tables[TABLE].deletes,
+    "rebase_lineages": lambda f: _rebased(f).lineages,
+    "reconcile_merge_adds": lambda f: _reconciled(f, conflict_resolution="favor_edit").tables[TABLE].adds,
+    "reconcile_favor_edit_adds": lambda f: _reconciled(f, conflict_resolution="favor_edit", auto_merge=False).tables[TABLE].adds,
+    "reconcile_favor_edit_deletes": lambda f: _reconciled(f, conflict_resolution="favor_edit", auto_merge=False).tables[TABLE].deletes,
+    "post_visible": lambda f: versioned.read_version(_posted(f, False), TABLE, "sde.DEFAULT"),
+    "post_deletes": lambda f: _posted(f, False).tables[TABLE].deletes,
     "shadow_markers": lambda f: merging.shadow_markers(f, f.tables[TABLE], 15, 6),
     "revert_adds": lambda f: _reverted(f).adds,
     "revert_deletes": lambda f: _reverted(f).deletes,

@@ -105,6 +105,12 @@ taken AS (SELECT t.* FROM theirs t),
 left_a AS (SELECT * FROM fab_a a WHERE NOT (a.sde_state_id = 15 AND a.objectid IN (SELECT objectid FROM clash))),
 left_d AS (SELECT * FROM fab_d d WHERE NOT (d.sde_state_id = 15 AND d.sde_deletes_row_id IN (SELECT objectid FROM clash))),
 todo AS (SELECT * FROM taken WHERE NOT (change_type = 'update' AND objectid IN (SELECT objectid FROM left_a WHERE sde_state_id = 15)))"""
+# With favor_edit, a clash keeps the child's rows; with merging, those without a field that both sides changed take the parent's values.
+_FAVORED = f"""{', '.join(_CHANGED)}, {_CLASH}, {_IMAGES},
+plain AS (SELECT * FROM theirs WHERE objectid NOT IN (SELECT objectid FROM clash)),
+todo AS (SELECT * FROM plain WHERE NOT (change_type = 'update' AND objectid IN (SELECT objectid FROM fab_a WHERE sde_state_id = 15)))"""
+_TAKEN = """SELECT a.objectid, CAST(15 AS BIGINT) AS sde_state_id, a.c_name, a.c_nationkey, a.c_mktsegment, a.c_acctbal
+FROM fab_a a JOIN todo t ON t.objectid = a.objectid AND t.state_id = a.sde_state_id WHERE t.change_type <> 'delete'"""
 _NEW_STATE = 26
 _POSTED = f"""ours AS ({_changes(_OURS)}),
 post_a AS (SELECT * FROM fab_a UNION ALL SELECT a.objectid, CAST({_NEW_STATE} AS BIGINT), a.c_name, a.c_nationkey, a.c_mktsegment, a.c_acctbal
@@ -212,6 +218,24 @@ FROM fab_a a JOIN todo t ON t.objectid = a.objectid AND t.state_id = a.sde_state
     "rebase_visible": f"""{_with(_walk('child_walk', 15), _walk('parent_walk', 10), _THREE)}
 SELECT * FROM child_rows WHERE objectid IN (SELECT objectid FROM classes WHERE outcome IN ('replay', 'conflict_add'))
 UNION ALL SELECT * FROM parent_rows WHERE objectid NOT IN (SELECT objectid FROM classes WHERE outcome <> 'drop')""",
+    "rebase_adds": f"""{_with(_walk('child_walk', 15), _walk('parent_walk', 10), _THREE)} SELECT * FROM fab_a
+UNION ALL SELECT objectid, CAST({_NEW_STATE} AS BIGINT), c_name, c_nationkey, c_mktsegment, c_acctbal FROM (
+  SELECT *, row_number() OVER (PARTITION BY objectid ORDER BY sde_state_id DESC) AS rn FROM fab_a WHERE sde_state_id IN {_in('child_walk')})
+WHERE rn = 1 AND objectid IN (SELECT objectid FROM classes WHERE outcome IN ('replay', 'conflict_add'))""",
+    "rebase_deletes": f"""{_with(_walk('child_walk', 15), _walk('parent_walk', 10), _THREE)} SELECT * FROM fab_d
+UNION ALL SELECT objectid, CAST({_NEW_STATE} AS BIGINT), CAST({_NEW_STATE} AS BIGINT) FROM classes WHERE outcome IN ('delete', 'conflict_delete')""",
+    "rebase_lineages": f"{_with(_walk('parent_walk', 10))} SELECT * FROM fab_lineages UNION ALL SELECT CAST({_NEW_STATE} AS BIGINT), s FROM (SELECT s FROM parent_walk UNION SELECT 0 UNION SELECT {_NEW_STATE})",
+    "reconcile_merge_adds": f"""{_with(_FAVORED, f"merged AS (SELECT objectid, {', '.join(_merged(*x) for x in _FOUR)} FROM images WHERE {_NO_CLASH} AND ({_PARENT_ONLY}))")}
+SELECT a.objectid, a.sde_state_id, {', '.join(f"CASE WHEN m.objectid IS NULL THEN a.{n} ELSE m.{n} END AS {n}" for *_, n in _FOUR)}
+FROM fab_a a LEFT JOIN merged m ON m.objectid = a.objectid AND a.sde_state_id = 15 UNION ALL {_TAKEN}""",
+    "reconcile_favor_edit_adds": f"{_with(_FAVORED)} SELECT * FROM fab_a UNION ALL {_TAKEN}",
+    "reconcile_favor_edit_deletes": f"{_with(_FAVORED)} SELECT * FROM fab_d UNION ALL SELECT objectid, CAST(15 AS BIGINT), CAST(15 AS BIGINT) FROM todo WHERE change_type <> 'insert'",
+    "post_visible": _read("V_A"),
+    "post_deletes": f"""{_with(_walk('anc', 10), "closure AS (SELECT lineage_id AS s FROM fab_lineages WHERE lineage_name = 11 AND lineage_id <= 15 UNION SELECT s FROM anc)",
+        "edits AS (SELECT objectid AS oid, max(sde_state_id) AS s FROM fab_a WHERE sde_state_id IN (SELECT s FROM closure) AND sde_state_id > 10 GROUP BY objectid)",
+        "marks AS (SELECT sde_deletes_row_id AS oid, max(sde_state_id) AS s FROM fab_d WHERE sde_state_id IN (SELECT s FROM closure) AND sde_state_id > 10 GROUP BY sde_deletes_row_id)")}
+SELECT * FROM fab_d UNION ALL SELECT oid, CAST(0 AS BIGINT), s FROM (SELECT * FROM edits UNION ALL SELECT * FROM marks WHERE oid NOT IN (SELECT oid FROM edits)) e
+WHERE oid IN (SELECT objectid FROM fab_base) AND NOT EXISTS (SELECT 1 FROM fab_d d WHERE d.sde_deletes_row_id = e.oid AND d.sde_state_id = 0 AND d.deleted_at IN (SELECT s FROM closure))""",
     "shadow_markers": f"""{_with(f"edits AS (SELECT objectid AS oid, max(sde_state_id) AS s FROM fab_a WHERE sde_state_id IN {_CLOSURE_A} AND sde_state_id > 6 GROUP BY objectid)", f"marks AS (SELECT sde_deletes_row_id AS oid, max(sde_state_id) AS s FROM fab_d WHERE sde_state_id IN {_CLOSURE_A} AND sde_state_id > 6 GROUP BY sde_deletes_row_id)")}
 SELECT oid AS sde_deletes_row_id, CAST(0 AS BIGINT) AS sde_state_id, s AS deleted_at FROM (SELECT * FROM edits UNION ALL SELECT * FROM marks WHERE oid NOT IN (SELECT oid FROM edits)) e
 WHERE oid IN (SELECT objectid FROM fab_base) AND NOT EXISTS (SELECT 1 FROM fab_d d WHERE d.sde_deletes_row_id = e.oid AND d.sde_state_id = 0 AND d.deleted_at IN {_CLOSURE_A[:-1]}, 0))""",

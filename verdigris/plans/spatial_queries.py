@@ -72,8 +72,9 @@ def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog, from items, types and registry cut out of table_info."""
     info = table(spark, sf_dir, "table_info")
     kinds = spark.createDataFrame([("t", "Table"), ("f", "Feature Class"), ("d", "Domain")], "UUID string, Name string")
-    codes = F.when(F.col("geometry_type") == "Point", 1).when(F.col("geometry_type") == "LineString", 3).when(F.col("geometry_type") == "Polygon", 4)
-    items = info.select(F.when(F.col("is_feature_class"), "f").otherwise("t").alias("Type"), F.col("name").alias("Name"), F.col("physical_name").alias("PhysicalName"), codes.alias("DatasetSubtype2"))
+    # The view is given as a multipatch, which counts as points.
+    codes = F.when(F.col("registration_id").isNull(), 9).when(F.col("geometry_type") == "Point", 1).when(F.col("geometry_type") == "LineString", 3).when(F.col("geometry_type") == "Polygon", 4)
+    items = info.select(F.when(F.col("is_feature_class"), "f").otherwise("t").alias("Type"), F.col("name").alias("Name"), F.col("physical_name").alias("PhysicalName"), codes.alias("DatasetSubtype1"), F.lit(0).alias("DatasetSubtype2"))
     parts = F.split("physical_name", r"\.")
     registry = info.filter("registration_id is not null").select("registration_id", F.element_at(parts, 2).alias("owner"), F.element_at(parts, 3).alias("table_name"), F.when(F.col("is_versioned"), 9).otherwise(1).alias("object_flags"))
     return list_tables(items, kinds, registry)
@@ -107,6 +108,7 @@ SELECT op_id FROM l WHERE list_min(n) >= 0 AND list_max(n) <= 30000""",
 WHERE g LIKE '{{"type":"Point","coordinates":[%,%]}}' AND (g ->> '$.coordinates[0]') IS NOT NULL""",
     "wkt_points": rf"""SELECT op_id, CAST(regexp_extract(g, '^POINT [(](\S+) (\S+)[)]$', 1) AS DOUBLE) AS x, CAST(regexp_extract(g, '^POINT [(](\S+) (\S+)[)]$', 2) AS DOUBLE) AS y
 FROM {_OPS} WHERE regexp_matches(g, '^POINT [(](\S+) (\S+)[)]$')""",
-    "catalog_tables": """SELECT name, physical_name, schema_name, CASE WHEN is_feature_class THEN geometry_type END AS geometry_type, registration_id,
+    "catalog_tables": """SELECT string_split(physical_name, '.')[-1] AS name, physical_name, schema_name,
+  CASE WHEN is_feature_class AND registration_id IS NULL THEN 'MultiPoint' WHEN is_feature_class THEN geometry_type END AS geometry_type, registration_id,
   is_versioned AND registration_id IS NOT NULL AS is_versioned FROM table_info ORDER BY name""",
 }

@@ -32,12 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; only where that is unset (a local test) make one."""
+    """Use the folder of spark.checkpoint.dir; where that is unset make one, but only for a local master: a cluster's executors could not share it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="verdigris-checkpoint-")
     context.setCheckpointDir(folder)
 

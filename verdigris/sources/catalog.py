@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Geometry codes of catalog items.
-GEOMETRY_CODES = {1: "Point", 2: "MultiPoint", 3: "LineString", 4: "Polygon", 9: "MultiPolygon"}
+GEOMETRY_CODES = {1: "Point", 2: "MultiPoint", 3: "LineString", 4: "Polygon", 9: "MultiPoint"}
 # Field types by the names of SQL columns; others are strings.
 SQL_TYPES = {
     "smallint": "SMALLINTEGER", "int": "INTEGER", "integer": "INTEGER", "bigint": "INT64", "real": "FLOAT", "float": "DOUBLE", "double precision": "DOUBLE",
@@ -158,8 +158,8 @@ def to_feature(row, shape_field: str | None) -> dict:
 def list_tables(items: DataFrame, item_types: DataFrame, registry: DataFrame) -> DataFrame:
     """(name, physical_name, schema_name, geometry_type, registration_id, is_versioned) of the tables and feature classes, by name.
 
-    items(Type, Name, PhysicalName, DatasetSubtype2), item_types(UUID, Name), registry(registration_id, owner, table_name, object_flags). The registry is
-    joined on owner.table against the physical name after its first dot.
+    items(Type, Name, PhysicalName, DatasetSubtype1), item_types(UUID, Name), registry(registration_id, owner, table_name, object_flags). A table's name is
+    the last part of its physical name. The registry is joined on owner.table against the physical name after its first dot.
     """
     kinds = item_types.filter(F.col("Name").isin("Table", "Feature Class")).select(F.col("UUID").alias("Type"), F.col("Name").alias("kind"))
     physical = F.upper("PhysicalName")
@@ -168,10 +168,10 @@ def list_tables(items: DataFrame, item_types: DataFrame, registry: DataFrame) ->
     codes = F.create_map(*[F.lit(x) for pair in GEOMETRY_CODES.items() for x in pair])
     joined = items.join(kinds, "Type").withColumn("rest", F.coalesce(rest, physical)).join(registered, F.col("rest") == F.col("registered"), "left")
     return joined.select(
-        F.col("Name").alias("name"),
+        F.element_at(F.split("PhysicalName", r"\."), -1).alias("name"),
         F.col("PhysicalName").alias("physical_name"),
         F.when(F.instr("PhysicalName", ".") > 0, F.element_at(F.split("PhysicalName", r"\."), -2)).otherwise(F.lit("dbo")).alias("schema_name"),
-        F.when(F.col("kind") == "Feature Class", F.try_element_at(codes, F.col("DatasetSubtype2"))).alias("geometry_type"),
+        F.when(F.col("kind") == "Feature Class", F.try_element_at(codes, F.col("DatasetSubtype1"))).alias("geometry_type"),
         "registration_id",
         (F.coalesce(F.col("object_flags"), F.lit(0)).bitwiseAND(VERSIONED_FLAG) > 0).alias("is_versioned"),
     ).orderBy("name")

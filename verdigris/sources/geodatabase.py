@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.operators import changes, compaction, merging, versioned
-from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, VersionNotFoundError, state_set
+from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, VersionNotFoundError, append_rows, state_set
 from verdigris.operators.spatial import spatial_filter
 from verdigris.sources.catalog import to_feature
 from verdigris.sources.editing import NOT_WRITABLE, EditSession, ReadOnlyError
-from verdigris.sources.store import LockTimeoutError, Snapshot, SnapshotStore
+from verdigris.sources.store import LockTimeoutError, Snapshot, SnapshotMovedError, SnapshotStore
 
 log = logging.getLogger("verdigris")
 DEFAULT = "sde.DEFAULT"
@@ -143,10 +143,11 @@ class Table:
         row = versioned.feature_at_state(self.source, objectid, ancestor, states).first()
         return to_feature(row, self.shape_field) if row is not None else None
 
-    def _changed(self, base: DataFrame, next_id: int | None = None) -> None:
+    def _changed(self, change) -> None:
+        """Commits change(base) as the base rows."""
         if self.read_only:
             raise ReadOnlyError(self.name)
-        self._gdb._commit(lambda f: f.with_table(replace(f.tables[self.name], base=base)), {self.name: next_id} if next_id else None)
+        self._gdb._commit(lambda f: f.with_table(replace(f.tables[self.name], base=change(f.tables[self.name].base))))
 
     def insert(self, attributes: dict) -> int:
         return self.insert_many([attributes])[0]
@@ -157,11 +158,10 @@ class Table:
             raise ReadOnlyError(self.name)
         if not rows:
             return []
-        schema, first = self.source.base.schema, self._gdb.snapshot.next_object_id[self.name]
-        ids = list(range(first, first + len(rows)))
+        schema, ids = self.source.base.schema, list(self._gdb.store.take_object_ids(self.name, len(rows)))
         lowered = [{k.lower(): v for k, v in r.items() if k.lower() not in NOT_WRITABLE} | {"objectid": i} for i, r in zip(ids, rows)]
-        new = self._gdb.spark.createDataFrame([tuple(r.get(f.name.lower()) for f in schema.fields) for r in lowered], schema)
-        self._changed(self.source.base.unionByName(new), first + len(rows))
+        new = self._gdb.spark.createDataFrame([tuple(r.get(f.name.lower()) for f in schema.fields) for r in lowered], schema).coalesce(1)
+        self._changed(lambda base: append_rows(base, new))
         return ids
 
     def update(self, objectid: int, attributes: dict) -> bool:
@@ -171,7 +171,7 @@ class Table:
         kinds = {f.name: f.dataType for f in self.source.base.schema.fields}
         own = F.col("objectid") == objectid
         columns = [F.when(own, F.lit(given[c.lower()]).cast(kinds[c])).otherwise(F.col(c)).alias(c) if c.lower() in given else F.col(c) for c in kinds]
-        self._changed(self.source.base.select(*columns))
+        self._changed(lambda base: base.select(*columns))
         return True
 
     def delete(self, objectid: int) -> bool:
@@ -182,7 +182,7 @@ class Table:
             raise ReadOnlyError(self.name)
         gone = self.source.base.filter(F.col("objectid").isin([int(i) for i in objectids])).count() if objectids else 0
         if gone:
-            self._changed(self.source.base.filter(~F.col("objectid").isin([int(i) for i in objectids])))
+            self._changed(lambda base: base.filter(~F.col("objectid").isin([int(i) for i in objectids])))
         return gone
 
 
@@ -220,14 +220,12 @@ class Geodatabase:
     def refresh(self) -> None:
         self._current = None
 
-    def _commit(self, change, next_ids: dict[str, int] | None = None):
-        base = self.snapshot
-        ids = {**base.next_object_id, **(next_ids or {})}
-        fabric = change(base.fabric)
+    def _commit(self, change) -> None:
+        """Commits change(fabric), outside of a transaction on the snapshot that is current then."""
         if self.in_transaction:
-            self._staged = replace(base, fabric=fabric, next_object_id=ids)
+            self._staged = replace(self._staged, fabric=change(self._staged.fabric))
         else:
-            self._current = self.store.commit(base, fabric, ids)
+            self._current = self.store.change(change)
 
     @contextlib.contextmanager
     def transaction(self):
@@ -243,7 +241,7 @@ class Geodatabase:
         finally:
             self._staged = None
         if staged is not start:
-            self._current = self.store.commit(start, staged.fabric, staged.next_object_id)
+            self._current = self.store.commit(start, staged.fabric)
 
     def sql(self, text: str, **arguments) -> DataFrame:
         """SQL over the base rows of the tables, by their names."""
@@ -267,13 +265,12 @@ class Geodatabase:
         self._tables.pop(name.lower(), None)
 
     def open_view(self, name: str, shape_field: str | None = None) -> Table:
-        """A read-only table of a view of the session named schema.name."""
-        if name.count(".") != 1:
+        """A read-only table of a view named schema.name; temporary views of the session are of no schema and named without one."""
+        if name.count(".") > 1:
             raise ValueError("a view is named schema.name")
-        plain = name if self.spark.catalog.tableExists(name) else name.split(".")[1]
-        if not self.spark.catalog.tableExists(plain):
+        if not self.spark.catalog.tableExists(name):
             raise KeyError(name)
-        return Table(self, name, self.spark.table(plain), shape_field)
+        return Table(self, name, self.spark.table(name), shape_field)
 
     def register_version_view(self, table: str, version: str, name: str | None = None) -> str:
         """A view of the session with the table as a version sees it, by default <table>_evw."""
@@ -310,7 +307,7 @@ class Geodatabase:
             chosen = f"{name}{number}"
         values = {"owner": owner, "name": chosen, "parent_name": f"{above.owner}.{above['name']}", "state_id": above.state_id, "description": description}
         row = self.spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in self.fabric.versions.schema.fields])
-        self._commit(lambda f: replace(f, versions=f.versions.unionByName(row)))
+        self._commit(lambda f: replace(f, versions=append_rows(f.versions, row)))
         return f"{owner}.{chosen}"
 
     def delete_version(self, name: str) -> None:
@@ -360,11 +357,20 @@ class Geodatabase:
                 result.append(found)
                 return fabric
 
-            base = self.snapshot.fabric
-            moved = change(base)
-            if moved is not base:
-                self._commit(lambda _: moved)
-            return result[0]
+            if self.in_transaction:
+                self._commit(change)
+            else:
+                # The plan holds for the snapshot that it was made from; if that has moved, it is made anew.
+                for left in reversed(range(8)):
+                    base = self.store.read()
+                    moved = change(base.fabric)
+                    try:
+                        self._current = self.store.commit(base, moved) if moved is not base.fabric else base
+                        break
+                    except SnapshotMovedError:
+                        if not left:
+                            raise
+            return result[-1]
 
     def reconcile_version(self, version: str, options: merging.ReconcileOptions = merging.ReconcileOptions()) -> merging.ReconcileResult:
         return self._merged(version, lambda f: merging.reconcile(f, version, options))
@@ -387,9 +393,9 @@ class Geodatabase:
         try:
             with self.store.compaction_lock(options.pop("wait_seconds", 30.0)):
                 self.refresh()
-                fabric, result = compaction.compact(self.fabric, **options)
-                if fabric is not self.fabric:
-                    self._commit(lambda _: fabric)
+                base = self.store.read()
+                fabric, result = compaction.compact(base.fabric, **options)
+                self._current = self.store.commit(base, fabric) if fabric is not base.fabric else base
                 return result
         except LockTimeoutError:
             log.info("compaction deferred, editors are active")
