@@ -185,3 +185,27 @@ def test_split_documents(spark):
     documents = spark.createDataFrame([(1, "A b. C d.", 5), (2, None, 5), (3, "", 5), (1, "A b. C d.", 6), (None, "X y.", 7)], "doc_id long, text string, start_pos int")
     assert sorted(map(tuple, split_sentences(documents).collect()), key=str) == sorted([(1, 0, 4), (1, 5, 9), (1, 0, 4), (1, 5, 9), (None, 0, 4)], key=str)
     assert split_sentences(documents.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "units"),
+    [
+        ("He told me. Then he left.", 2), ("We value art. It matters.", 2), ("This is the cap. It fits.", 2), ("He has a fig. She ate it.", 2), ("See fig. 3 and art. 5 of it.", 1),
+        ("El gobierno, no. La sala se levanta.", 2), ("Véase la pág. 3 del acta núm. 5 de la sala.", 1), ("Selon l’art. R. 5 le conseil est clair. Oui.", 2), ("هتفوا «قف!» وخرجوا. لا.", 2),
+        ("Wir haben, vgl. Anlage 5, nichts. Das ist alles.", 2), ("It is 3.5 m. Why?", 2), ("He said “No. Never.” and left.", 1),
+    ],
+)
+def test_abbreviations_by_language(text, units):
+    assert len(sentence_units(text)) == units
+
+
+@pytest.mark.parametrize("part", ["( a ", '" a ', ". ", "1. ", "a. ", "(“ a. ", "« x! ", "「"])
+def test_time_grows_with_the_text(part):
+    import time
+
+    took = []
+    for size in (50_000, 400_000):
+        start = time.perf_counter()
+        sentence_units(part * (size // len(part)))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * took[0] + 0.5

@@ -1,21 +1,35 @@
 """Abbreviations that carry a full stop, by what may follow them. Lower case, inner stops kept, the last one left off.
 
-The languages of a script share one list, since the language tag of a document is often missing or wrong.
+The lists go by language. That of a text is told from its script and its frequent words, since a document's language tag is often missing or wrong.
 """
 
 # Titles and other words that only stand before a name or the rest of a phrase; a stop after them never ends a sentence.
-NEVER_ENDS = frozenset(
-    """
-    mr mrs ms mx dr drs prof hon rev st ste messrs gen col maj capt lt sgt cmdr adm gov sen rep pres supt insp fr sr sra srta sres sras dra
-    dña excmo excma ilmo ilma rdo ud uds vd vds mm mme mlle mgr me pdt pdte cie hr hrn frl abg fa dipl ing mag hl geb sog bzw ggf evtl inkl exkl zzgl
-    vgl ca z.b z d.h d u.a u u.ä i.e e.g i.a viz cf vs v approx c.-à-d càd env aprox p.ej p.ex ex ee art arts sec secs fig figs vol vols ch chap chaps para paras
-    pp pt pts ed eds tab abb anl kap bd bde nr nrn abs ziff lit rdnr randnr no nos núm núms nº n pág págs cap caps apdo párr av avda bd
-    г-н г-жа д-р проф акад доц тов им ул пр-т пл пос дер обл р-н см ср ст ч гл рис табл прил п пп стр с т.е т.н напр тыс
-    δρ κ κκ κα καθ αρ άρθρ άρθ βλ σελ σσ π.χ δηλ παρ κεφ τηλ λεωφ αγ
-    """.split()
-)
+NEVER_ENDS = {
+    "en": frozenset("mr mrs ms mx dr drs prof hon rev st messrs gen col maj capt lt sgt cmdr adm gov sen rep pres supt insp sr i.e e.g i.a viz cf vs v approx".split()),
+    "de": frozenset(
+        """
+        hr hrn frl fr abg fa dipl ing mag dr prof hl geb sog bzw ggf evtl inkl exkl zzgl vgl ca z.b z d.h d u.a u u.ä i.a v vs abb anl kap bd bde nr nrn abs
+        ziff lit rdnr randnr art st rep messrs
+        """.split()
+    ),
+    "fr": frozenset("m mm mme mlle mgr me pdt pdte cie dr drs prof st ste hon art arts env cf c.-à-d càd p.ex ex av bd vs v ch chap vol vols pp n nº tab fig figs".split()),
+    "es": frozenset(
+        "sr sra srta sres sras d dr dra dña prof excmo excma ilmo ilma rdo ud uds vd vds ee aprox p.ej ej pág págs pp cap caps art arts núm núms nº n apdo párr fig figs tab av avda vs v vol vols st".split()
+    ),
+    "ru": frozenset("г-н г-жа д-р проф акад доц тов им ул пр-т пл пос дер обл р-н см ср ст ч гл рис табл прил п пп стр с т.е т.н напр тыс".split()),
+    "el": frozenset("δρ κ κκ κα καθ αρ άρθρ άρθ βλ σελ σσ π.χ δηλ παρ κεφ τηλ λεωφ αγ".split()),
+}
+# Frequent words of the languages that share the Latin script, by which a text's language is told.
+FUNCTION_WORDS = {
+    "en": frozenset("the of and to is that for with was not has have by this be it are from at which an as will said he she they we you his her but then who its".split()),
+    "de": frozenset("der die das und nicht ist wir den von zu dem ein eine mit hat auf für im des sich bei er sie es".split()),
+    "fr": frozenset("le la les des et est nous pas une dans du que qui au pour ne sur par ce il un été à où".split()),
+    "es": frozenset("el la los las de que y en una por del se ha no para con su al es lo un más".split()),
+}
 # Words that mostly stand before a number, but may end a sentence before a new one that begins with a capital.
-BEFORE_NUMBER = frozenset("no nos nr sec art fig p pp vol ch para n nº núm núms pág págs s abs".split())
+BEFORE_NUMBER = frozenset(
+    "no nos nr sec secs art arts fig figs p pp vol vols ch chap chaps para paras pt pts tab ed eds n nº núm núms pág págs s abs".split()
+)
 # Words that may end a sentence if a new one follows.
 MAY_END = frozenset(
     """
