@@ -98,9 +98,13 @@ def _ids(fabric: Fabric, states, column: str = "state_id") -> DataFrame:
     return _states(fabric, states).withColumnRenamed("state", column)
 
 
-def _reconciled(fabric: Fabric, conflict_resolution: str = "favor_target", auto_merge: bool | None = None) -> Fabric:
-    options = merging.ReconcileOptions(conflict_resolution=conflict_resolution, auto_merge=conflict_resolution == "favor_edit" if auto_merge is None else auto_merge)
-    return merging.reconcile(fabric, V_A, options)[0]
+def _reconciled(fabric: Fabric, conflict_resolution: str = "favor_target", **options) -> Fabric:
+    return merging.reconcile(fabric, V_A, merging.ReconcileOptions(conflict_resolution=conflict_resolution, **{"auto_merge": False} | options))[0]
+
+
+def _merged_values(_) -> dict:
+    """Given where both sides changed the same fields to the same values, so that there is nothing to suggest."""
+    return {"c_name": "merged", "c_nationkey": 0, "c_mktsegment": "none", "c_acctbal": 0.0}
 
 
 def _posted(fabric: Fabric, trim: bool = True) -> Fabric:
@@ -184,9 +188,9 @@ _PLANS = {
     "rebase_adds": lambda f: _rebased(f).tables[TABLE].adds,
     "rebase_deletes": lambda f: _rebased(f).tables[TABLE].deletes,
     "rebase_lineages": lambda f: _rebased(f).lineages,
-    "reconcile_merge_adds": lambda f: _reconciled(f, conflict_resolution="favor_edit").tables[TABLE].adds,
-    "reconcile_favor_edit_adds": lambda f: _reconciled(f, conflict_resolution="favor_edit", auto_merge=False).tables[TABLE].adds,
-    "reconcile_favor_edit_deletes": lambda f: _reconciled(f, conflict_resolution="favor_edit", auto_merge=False).tables[TABLE].deletes,
+    "reconcile_merge_adds": lambda f: _reconciled(f, "favor_edit", auto_merge=True, get_merged_values=_merged_values).tables[TABLE].adds,
+    "reconcile_favor_edit_adds": lambda f: _reconciled(f, "favor_edit").tables[TABLE].adds,
+    "reconcile_favor_edit_deletes": lambda f: _reconciled(f, "favor_edit").tables[TABLE].deletes,
     "post_visible": lambda f: versioned.read_version(_posted(f, False), TABLE, "sde.DEFAULT"),
     "post_deletes": lambda f: _posted(f, False).tables[TABLE].deletes,
     "shadow_markers": lambda f: merging.shadow_markers(f, f.tables[TABLE], 15, 6),

@@ -225,7 +225,7 @@ WHERE rn = 1 AND objectid IN (SELECT objectid FROM classes WHERE outcome IN ('re
     "rebase_deletes": f"""{_with(_walk('child_walk', 15), _walk('parent_walk', 10), _THREE)} SELECT * FROM fab_d
 UNION ALL SELECT objectid, CAST({_NEW_STATE} AS BIGINT), CAST({_NEW_STATE} AS BIGINT) FROM classes WHERE outcome IN ('delete', 'conflict_delete')""",
     "rebase_lineages": f"{_with(_walk('parent_walk', 10))} SELECT * FROM fab_lineages UNION ALL SELECT CAST({_NEW_STATE} AS BIGINT), s FROM (SELECT s FROM parent_walk UNION SELECT 0 UNION SELECT {_NEW_STATE})",
-    "reconcile_merge_adds": f"""{_with(_FAVORED, f"merged AS (SELECT objectid, {', '.join(_merged(*x) for x in _FOUR)} FROM images WHERE {_NO_CLASH} AND ({_PARENT_ONLY}))")}
+    "reconcile_merge_adds": f"""{_with(_FAVORED, f"merged AS (SELECT objectid, {', '.join(_merged(*x) for x in _FOUR)} FROM images WHERE {_NO_CLASH} AND ({_PARENT_ONLY}) UNION ALL SELECT objectid, 'merged', 0, 'none', 0.0 FROM images WHERE {_NO_CLASH} AND NOT ({_PARENT_ONLY}))")}
 SELECT a.objectid, a.sde_state_id, {', '.join(f"CASE WHEN m.objectid IS NULL THEN a.{n} ELSE m.{n} END AS {n}" for *_, n in _FOUR)}
 FROM fab_a a LEFT JOIN merged m ON m.objectid = a.objectid AND a.sde_state_id = 15 UNION ALL {_TAKEN}""",
     "reconcile_favor_edit_adds": f"{_with(_FAVORED)} SELECT * FROM fab_a UNION ALL {_TAKEN}",
