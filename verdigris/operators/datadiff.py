@@ -1,6 +1,7 @@
 """Differences between two copies of the same records, cell by cell.
 
-Both sides are unpivoted to key-field-value rows, one side counting +1 and the other -1; the groups of a key and field that do not cancel differ.
+Both sides are unpivoted to key-field-value rows, one side counting +1 and the other -1. Equal cells cancel in one aggregate; only what is left over is
+taken apart and compared as numbers, instants or geometries.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ _NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
 _STRING = r'"(?:[^"\\]|\\.)*+"'
 #: A type with its value, another string or a number of JSON.
 _TOKEN = rf'"type":{_STRING}|{_STRING}|{_NUMBER}'
-_CELL = "struct<kind string, text string, numbers array<double>>"
+_FEATURE = "attributes map<string,variant>, geometry variant, _broken string"
 
 
 def _cell(kind: str, text: Column, numbers: Column | None = None) -> Column:
@@ -63,29 +64,51 @@ def latest_records(rows: DataFrame, side: str, key: list[str], order: str, value
     return rows.groupBy(side, *key).agg(last).select(side, *key, *[F.col(f"last.{v}").alias(v) for v in values])
 
 
-def unpivot_records(records: DataFrame, key: list[str], instants: tuple[str, ...]) -> DataFrame:
-    """(key..., field, sign, cell) of records with sign, change_type and feature (JSON text).
+def unpivot_records(records: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., sign, field, value) of records with sign, change_type and feature (JSON text, parsed once).
 
     Field '' tells that the record exists, FEATURE that it has a feature, '?' is the text of a feature that is no JSON object. Attribute names are in
-    upper case; of names that differ only in case the largest value counts. A cell that is null has no row.
+    upper case; of names that differ only in case the largest value counts. A value that is null has no row; others are JSON text without blanks,
+    members in the order of their names.
     """
-    # A lateral view, not a join: the rows stay where their key is.
-    parsed = records.withColumn("json", F.try_parse_json("feature"))
-    attributes = F.from_json(F.try_variant_get("json", "$.attributes", "string"), "map<string,variant>")
-    is_object = F.coalesce(F.schema_of_variant("json").startswith("OBJECT"), F.lit(False))
-    fixed = F.array(
-        F.struct(F.lit("").alias("field"), _cell("exists", F.lit("")).alias("cell")),
-        F.struct(F.lit("CHANGE_TYPE").alias("field"), F.when(F.col("change_type").isNotNull(), _cell("string", F.lower("change_type"))).alias("cell")),
-        F.struct(F.lit("FEATURE").alias("field"), F.when(F.col("feature").isNotNull(), _cell("exists", F.lit(""))).alias("cell")),
-        F.struct(F.lit("?").alias("field"), F.when(F.col("feature").isNotNull() & ~is_object, _cell("string", F.col("feature"))).alias("cell")),
-        F.struct(F.lit("GEOMETRY").alias("field"), _geometry_cell(F.try_variant_get("json", "$.geometry", "variant")).alias("cell")),
-    )
+    text = F.col("feature")
+    parsed = records.withColumn("json", F.from_json(text, _FEATURE, {"columnNameOfCorruptRecord": "_broken"}))
+    json = F.col("json")
+    broken = ~F.ltrim(text).startswith("{") | (json["_broken"].isNotNull() & json["attributes"].isNull() & json["geometry"].isNull())
+    values = [
+        (F.lit(""), F.lit("")),
+        (F.lit("CHANGE_TYPE"), F.lower("change_type")),
+        (F.lit("FEATURE"), F.when(text.isNotNull(), F.lit(""))),
+        (F.lit("?"), F.when(broken, text)),
+        (F.lit("GEOMETRY"), F.when(~broken & ~F.is_variant_null(json["geometry"]), F.to_json(json["geometry"]))),
+    ]
     named = F.transform(
-        F.coalesce(F.map_entries(attributes), F.array().cast("array<struct<key string, value variant>>")),
-        lambda e: F.struct(F.upper(e["key"]).alias("field"), _value_cell(F.upper(e["key"]), e["value"], instants).alias("cell")),
+        F.when(~broken, F.coalesce(F.map_entries(json["attributes"]), F.array().cast("array<struct<key string, value variant>>"))),
+        lambda e: F.struct(F.upper(e["key"]).alias("field"), F.when(~F.is_variant_null(e["value"]), F.to_json(e["value"])).alias("value")),
+    )
+    fixed = F.array(*[F.struct(f.alias("field"), v.alias("value")) for f, v in values])
+    # A lateral view, not a join: the rows stay where their key is.
+    cells = parsed.select(*key, "sign", F.explode(F.concat(fixed, F.coalesce(_largest(named), F.array().cast("array<struct<field string, value string>>")))).alias("c"))
+    return cells.select(*key, "sign", "c.field", "c.value").filter("value is not null")
+
+
+def _largest(named: Column) -> Column:
+    """Of cells of one field those with the largest value; mostly every field is there once."""
+    fields = F.transform(named, lambda c: c["field"])
+    sorted_ = F.array_sort(named)
+    last = F.filter(sorted_, lambda c, i: F.coalesce(F.get(sorted_, i + 1)["field"] != c["field"], F.lit(True)))
+    return F.when(F.size(F.array_distinct(fields)) < F.size(fields), last).otherwise(named)
+
+
+def _cell_of(field: Column, value: Column, instants: tuple[str, ...]) -> Column:
+    """The value of a field as a comparable cell; null for null."""
+    json = F.try_parse_json(value)
+    return (
+        F.when(value.isNull(), F.lit(None))
+        .when(field.isin("", "CHANGE_TYPE", "FEATURE", "?"), _cell("text", value))
+        .when(field == "GEOMETRY", _geometry_cell(json))
+        .otherwise(_value_cell(field, json, instants))
     )
-    cells = parsed.select(*key, "sign", F.explode(F.concat(fixed, named)).alias("c"))
-    return cells.select(*key, "sign", "c.field", "c.cell").filter("cell is not null")
 
 
 def record_differences(
@@ -107,11 +130,12 @@ def record_differences(
     sign = F.when(F.col(side) == plus, 1).when(F.col(side) == minus, -1)
     records = latest_records(rows.filter(F.col(side).isin(plus, minus)), side, key, order, ["change_type", "feature"])
     records = records.withColumn("sign", sign).drop(side).repartition(*key)
-    cells = unpivot_records(records, key, instants)
-    grouped = cells.groupBy(*key, "field").agg(
-        F.sum("sign").alias("net"), F.max(F.when(F.col("sign") > 0, F.col("cell"))).alias("a"), F.max(F.when(F.col("sign") < 0, F.col("cell"))).alias("b")
-    )
-    open_ = grouped.filter((F.col("net") != 0) | _differs("a", "b"))
+    cells = unpivot_records(records, key)
+    # Most cells are the same on both sides and go away here.
+    left = cells.groupBy(*key, "field", "value").agg(F.sum("sign").alias("net")).filter("net <> 0")
+    sides = left.groupBy(*key, "field").agg(F.sum("net").alias("net"), F.max(F.when(F.col("net") > 0, F.col("value"))).alias("plus"), F.max(F.when(F.col("net") < 0, F.col("value"))).alias("minus"))
+    compared = sides.select(*key, "field", "net", *[_cell_of(F.col("field"), F.col(v), instants).alias(n) for v, n in (("plus", "a"), ("minus", "b"))])
+    open_ = compared.filter((F.col("net") != 0) | _differs("a", "b"))
     by_key = open_.groupBy(*key).agg(F.max(F.when(F.col("field") == "", F.col("net"))).alias("alone"), F.collect_set(F.when(F.col("field") != "", F.col("field"))).alias("fields"))
     no_feature = F.array_contains("fields", "FEATURE") | F.array_contains("fields", "?")
     shown = F.when(no_feature, F.array_union(F.filter("fields", lambda f: f == "CHANGE_TYPE"), F.array(F.lit("FEATURE")))).otherwise(F.col("fields"))
