@@ -17,12 +17,28 @@ def plane_vectors(x, y) -> np.ndarray:
     return np.column_stack([x, np.asarray(y, float), np.zeros(len(x))])
 
 
+def degree_boxes(lon_low: float, lat_low: float, lon_high: float, lat_high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest coordinates of the unit vectors of a box in degrees, by interval arithmetic; never too narrow."""
+
+    def cosines(low: float, high: float) -> tuple[float, float]:
+        ends = [np.cos(np.radians(low)), np.cos(np.radians(high))]
+        top = 1.0 if np.floor(high / 360) * 360 >= low else max(ends)
+        bottom = -1.0 if np.floor((high - 180) / 360) * 360 + 180 >= low else min(ends)
+        return bottom, top
+
+    across = cosines(lat_low, lat_high)
+    corners = [[a * b for a in across for b in cosines(lon_low - turn, lon_high - turn)] for turn in (0.0, 90.0)]
+    heights = sorted(float(np.sin(np.radians(v))) for v in (lat_low, lat_high))
+    low, high = np.array([[min(corners[0]), min(corners[1]), heights[0]]]), np.array([[max(corners[0]), max(corners[1]), heights[1]]])
+    return low - 1e-12, high + 1e-12
+
+
 def chord(radius: float, sphere_radius: float) -> float:
     """Chord of the unit sphere below a great-circle distance."""
     return 2.0 * np.sin(min(radius / sphere_radius, np.pi) / 2.0)
 
 
-def close_pairs(points: np.ndarray, radius: float, bucket: int = 24, chunk: int = 2_000_000):
+def close_pairs(points: np.ndarray, radius: float, bucket: int = 24, chunk: int = 500_000):
     """Yield arrays (i, j) with i != j, each unordered pair once, of points at most `radius` apart.
 
     A balanced tree is built level by level; pairs of nodes whose boxes are close enough are refined together, all of a level at once.
@@ -78,10 +94,13 @@ class Splits:
     """A k-d split of space, fitted on a sample; any point falls in exactly one leaf, whatever the sample was.
 
     No leaf is cut narrower than `least` (twice the search radius or more), so a point is copied to few leaves. `shares` holds the sample's share
-    of each leaf.
+    of each leaf, `near` the part of its sampled pairs that are within the radius, from at most PAIRED points of it.
     """
 
+    PAIRED = 256
+
     def __init__(self, sample: np.ndarray, leaf_share: float, least: float):
+        self.near: list[float] = []
         self.axis, self.at, self.child = [], [], []
         self.shares: list[float] = []
         if len(sample) == 0:
@@ -107,6 +126,10 @@ class Splits:
                     self.child[node] = (self._grow(points[left]), self._grow(points[~left]))
                     return node
         self.shares.append(share)
+        some = points[: self.PAIRED]
+        gaps = some[:, None] - some[None]
+        close = np.einsum("ijk,ijk->ij", gaps, gaps) <= (self.least / 2) ** 2
+        self.near.append((close.sum() - len(some)) / max(1, len(some) * (len(some) - 1)))
         return -len(self.shares)
 
     def leaves(self, low: np.ndarray, high: np.ndarray):

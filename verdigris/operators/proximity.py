@@ -8,6 +8,7 @@ pairs in a local k-d tree by chord radius, and sweeps the edges of the regions t
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,15 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.functions.kdtree import Splits, chord, close_pairs, plane_vectors, unit_vectors
+from verdigris.functions.kdtree import Splits, chord, close_pairs, degree_boxes, plane_vectors, unit_vectors
 from verdigris.functions.pointtext import read_attribute_point, read_point
 from verdigris.functions.rings import SweptPoints, read_edges
 from verdigris.session import cut_lineage
 
-#: Sampled points that fit the splits. They decide only where space is cut; every point is searched.
-SPLIT_SAMPLE = 20_000
-#: Points that a leaf should hold.
+#: Least and most sampled points that fit the splits; between, LEAF_SAMPLE for each leaf. They decide only where space is cut; every point is searched.
+SPLIT_SAMPLE, MOST_SAMPLE = 20_000, 2_000_000
+LEAF_SAMPLE = 16
+#: Points that a leaf should hold, and close pairs that a task should find.
 LEAF_POINTS = 20_000
+TASK_PAIRS = 50_000_000
 _POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 
@@ -59,8 +62,9 @@ def located_operations(operations: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def fit_splits(sites: DataFrame, columns: tuple[str, str], reach: float, metric: str, sample: int, leaf_points: int) -> tuple[Splits, int]:
-    """Splits fitted on the `sample` sites of lowest hash, and the number of all sites."""
+    """Splits fitted on the sites of lowest hash, at least `sample`, and the number of all sites."""
     total = sites.count()
+    sample = max(sample, min(MOST_SAMPLE, LEAF_SAMPLE * total // leaf_points))
     rows = sites.select(*columns).orderBy(F.xxhash64("site")).limit(sample).toPandas()
     vectors = to_vectors(rows[columns[0]], rows[columns[1]], metric)
     return Splits(vectors, leaf_points / max(1, total), 2.0 * reach), total
@@ -109,7 +113,8 @@ def _route_regions(splits: Splits, blocks: list[int], metric: str):
                 if edges is None:
                     continue
                 if metric == "sphere":
-                    leaves = range(len(blocks))
+                    # Edges are straight in degrees; the box of the region's degrees bounds its unit vectors.
+                    _, leaves = splits.leaves(*degree_boxes(*edges[:, :2].min(axis=0), *edges[:, :2].max(axis=0)))
                 else:
                     low, high = edges[:, :2].min(axis=0), edges[:, :2].max(axis=0)
                     _, leaves = splits.leaves(plane_vectors(low[:1], low[1:]), plane_vectors(high[:1], high[1:]))
@@ -121,38 +126,44 @@ def _route_regions(splits: Splits, blocks: list[int], metric: str):
 
 
 def _search_leaf(reach: float, metric: str):
-    # Arrow tables, since pandas would turn the ids of a column with nulls into floats.
-    def search(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    # Arrow data, since pandas would turn the ids of a column with nulls into floats. Pairs leave as they are found, so a task never holds all of them.
+    def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_a, block_b = key[2].as_py(), key[3].as_py()
+        rows = pa.Table.from_batches(list(batches))
         is_region = pc.is_valid(rows.column("region"))
         sites, regions = rows.filter(pc.invert(is_region)), rows.filter(is_region)
-        kinds, first, second = [], [], []
-
-        def add(kind: str, a: np.ndarray, b: np.ndarray) -> None:
-            kinds.append(np.full(len(a), kind))
-            first.append(a)
-            second.append(b)
-
-        if len(sites):
-            site, party, home, part, x, y = (sites.column(c).to_numpy() for c in ("site", "party", "home", "part", "x", "y"))
-            for i, j in close_pairs(to_vectors(x, y, metric), reach):
-                keep = home[np.where(site[i] < site[j], i, j)] & (party[i] != party[j])
-                if block_a != block_b:
-                    keep &= part[i] != part[j]
-                i, j = i[keep], j[keep]
-                add("near", np.minimum(site[i], site[j]), np.maximum(site[i], site[j]))
-            if block_a == block_b and len(regions):
-                at_home = np.flatnonzero(home)
-                swept = SweptPoints(x[at_home], y[at_home])
-                for region, boundary in zip(regions.column("region").to_pylist(), regions.column("boundary").to_pylist()):
-                    within = site[at_home[swept.inside(read_edges(boundary))]]
-                    add("inside", np.full(len(within), region), within)
-        columns = [np.concatenate(c) if c else [] for c in (kinds, first, second)]
-        return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["kind", "a", "b"])
+
+        def found(kind: str, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+
+        if not len(sites):
+            return
+        site, party, home, part, x, y = (sites.column(c).to_numpy() for c in ("site", "party", "home", "part", "x", "y"))
+        for i, j in close_pairs(to_vectors(x, y, metric), reach):
+            keep = home[np.where(site[i] < site[j], i, j)] & (party[i] != party[j])
+            if block_a != block_b:
+                keep &= part[i] != part[j]
+            i, j = i[keep], j[keep]
+            if len(i):
+                yield found("near", np.minimum(site[i], site[j]), np.maximum(site[i], site[j]))
+        if block_a == block_b and len(regions):
+            at_home = np.flatnonzero(home)
+            swept = SweptPoints(x[at_home], y[at_home])
+            for region, boundary in zip(regions.column("region").to_pylist(), regions.column("boundary").to_pylist()):
+                within = site[at_home[swept.inside(read_edges(boundary))]]
+                if len(within):
+                    yield found("inside", np.full(len(within), region), within)
 
     return search
 
 
+def _blocks(splits: Splits, total: int, leaf_points: int, task_pairs: int) -> list[int]:
+    """Blocks of sites of each leaf: so many that no pair of blocks holds far more sites, or finds far more pairs, than a task should."""
+    by_sites = [share * total / (2 * leaf_points) for share in splits.shares]
+    by_pairs = [math.sqrt(near / task_pairs) * share * total for share, near in zip(splits.shares, splits.near)]
+    return [max(1, math.ceil(max(a, b)) if max(a, b) > 1 else 1) for a, b in zip(by_sites, by_pairs)]
+
+
 def near_and_inside(
     sites: DataFrame,
     regions: DataFrame,
@@ -161,6 +172,7 @@ def near_and_inside(
     sphere_radius: float = 6_371_008.8,
     sample: int = SPLIT_SAMPLE,
     leaf_points: int = LEAF_POINTS,
+    task_pairs: int = TASK_PAIRS,
 ) -> DataFrame:
     """(kind, a, b): `near` pairs of sites a < b at most `radius` apart, of different parties; `inside` region a and site b.
 
@@ -171,7 +183,7 @@ def near_and_inside(
     reach = chord(radius, sphere_radius) if metric == "sphere" else float(radius)
     sites = sites.select("site", "space", "x", "y", "party")
     splits, total = fit_splits(sites, ("x", "y"), reach, metric, sample, leaf_points)
-    blocks = [max(1, math.ceil(share * total / (2 * leaf_points))) if share * total > 2 * leaf_points else 1 for share in splits.shares]
+    blocks = _blocks(splits, total, leaf_points, task_pairs)
     routed = sites.mapInPandas(_route_sites(splits, blocks, reach, metric), _ROUTED).unionByName(
         regions.select("space", "region", "boundary")
         .filter("space is not null and region is not null and boundary is not null")
