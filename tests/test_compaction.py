@@ -4,6 +4,7 @@ from tests.model import random_model
 from verdigris.operators import compaction
 from verdigris.operators import fabric as fabric_module
 from verdigris.operators.compaction import CompactionRefused
+from verdigris.operators.spreadtree import SpreadTree
 from verdigris.operators.fabric import BrokenLineageError, Fabric, FeatureTable, StateTree, state_set
 from verdigris.operators.versioned import read_states, read_version
 
@@ -91,19 +92,34 @@ def test_tree():
 
 
 def test_trees_beyond_the_bound(spark, monkeypatch):
+    """With the bound at 5 all sets are tables, and everything gives the same as with the tree on the driver."""
     m = random_model(3)
     fabric = to_fabric(spark, m)
-    names = sorted(m.tips)
-    want = {n: (fabric.tree().walk(m.tips[n]), sorted(map(tuple, read_version(fabric, "t", n).collect()))) for n in names}
-    longest = max(len(w) for w, _ in want.values())
-    assert longest < len(m.parents)
-    monkeypatch.setattr(fabric_module, "INDEX_NODES", longest)
-    for n in names:
-        assert (fabric.tree(m.tips[n]).walk(m.tips[n]), sorted(map(tuple, read_version(fabric, "t", n).collect()))) == want[n]
-    with pytest.raises(ValueError):
-        fabric.tree()
+    tree, tips = fabric.tree(), compaction.tips_of(fabric)
+    locked = compaction.locked_branches(fabric, tree)
+    want = (
+        [set(tree.walk(t)) for t in tips], tree.common_ancestor(tips[0], tips[-1]), compaction.graduable_prefix(tree, tips), compaction.unreachable_states(tree, tips), locked,
+        compaction.collapse_plan(tree, tips, locked), sorted(map(tuple, compaction.closure_census(fabric, tree).collect())), sorted(map(tuple, read_version(fabric, "t", sorted(m.tips)[0]).collect())),
+    )
+    done, result = compaction.compact(to_fabric(spark, m), True, graduate=True, collapse_lineages=True)
+    monkeypatch.setattr(fabric_module, "INDEX_NODES", 5)
+    spread = fabric.tree()
+    assert isinstance(spread, SpreadTree)
+    ids = lambda rows: {r.state for r in rows.collect()}
+    gave = (
+        [ids(spread.walk(t)) for t in tips], spread.common_ancestor(tips[0], tips[-1]), ids(compaction.graduable_prefix(spread, tips)), ids(compaction.unreachable_states(spread, tips)),
+        ids(compaction.locked_branches(fabric, spread)), {r.state: r.anchor for r in compaction.collapse_plan(spread, tips, compaction.locked_branches(fabric, spread)).collect()},
+        sorted(map(tuple, compaction.closure_census(fabric, spread).collect())), sorted(map(tuple, read_version(fabric, "t", sorted(m.tips)[0]).collect())),
+    )
+    assert gave == want
+    again, same = compaction.compact(to_fabric(spark, m), True, graduate=True, collapse_lineages=True)
+    assert same == result and sorted(map(tuple, again.states.collect())) == sorted(map(tuple, done.states.collect()))
+
+
+def test_broken_chains_beyond_the_bound(spark):
     broken = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (20, 21), (21, 20), (30, 99), (5, None)], "state_id long, parent_state_id long")
+    tree = StateTree.of(broken, 3)
     for tip in (20, 30, 77):
         with pytest.raises(BrokenLineageError):
-            StateTree.of(broken, 3, [tip]).walk(tip)
-    assert StateTree.of(broken, 3, [2, 5, 0, None]).common_ancestor(2, 5) == 0
+            tree.walk(tip)
+    assert tree.common_ancestor(2, 5) == 0 and tree.walk(0).isEmpty() and tree.walk(None).isEmpty()

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, StateTree, state_set
+from verdigris.operators.spreadtree import SpreadTree
 from verdigris.operators.versioned import not_of_states, of_states, surviving_adds, version_signatures
+from verdigris.session import cut_lineage
 
 
 class CompactionRefused(RuntimeError):
@@ -44,8 +46,10 @@ def tips_of(fabric: Fabric) -> list[int]:
     return sorted({int(r.state_id) for r in fabric.versions.filter("state_id is not null").select("state_id").distinct().collect()})
 
 
-def locked_branches(fabric: Fabric, tree: StateTree) -> set[int]:
+def locked_branches(fabric: Fabric, tree: StateTree | SpreadTree) -> set[int] | DataFrame:
     """Locked states with all their ancestors (without the root) and descendants."""
+    if isinstance(tree, SpreadTree):
+        return tree.branches(fabric.locks.select(F.col("state_id").alias("state")))
     found: set[int] = set()
     for row in fabric.locks.select("state_id").distinct().collect():
         state = int(row.state_id)
@@ -54,8 +58,10 @@ def locked_branches(fabric: Fabric, tree: StateTree) -> set[int]:
     return found - {ROOT}
 
 
-def graduable_prefix(tree: StateTree, tips: list[int]) -> set[int]:
+def graduable_prefix(tree: StateTree | SpreadTree, tips: list[int]) -> set[int] | DataFrame:
     """States on the walk of every distinct tip."""
+    if isinstance(tree, SpreadTree):
+        return tree.prefix(tips)
     walks = [set(tree.walk(t)) for t in tips]
     return set.intersection(*walks) if walks else set()
 
@@ -66,10 +72,18 @@ def prefix_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("state").agg(F.countDistinct("tip").alias("n")).filter(F.col("n") == tips).select("state")
 
 
-def unreachable_states(tree: StateTree, tips: list[int]) -> set[int]:
+def unreachable_states(tree: StateTree | SpreadTree, tips: list[int]) -> set[int] | DataFrame:
+    if isinstance(tree, SpreadTree):
+        return tree.unreachable(tips)
     return set(tree.parents) - tree.reachable(tips) - {ROOT}
 
 
+def prunable_states(fabric: Fabric, tree: StateTree | SpreadTree, tips: list[int]) -> set[int] | DataFrame:
+    """The unreachable states of which no branch is locked."""
+    gone, locked = unreachable_states(tree, tips), locked_branches(fabric, tree)
+    return cut_lineage(gone.join(locked, "state", "left_anti")) if isinstance(gone, DataFrame) else gone - locked
+
+
 @dataclass(frozen=True)
 class Graduation:
     table: FeatureTable
@@ -99,7 +113,7 @@ def graduate_table(table: FeatureTable, prefix: DataFrame) -> Graduation:
     return Graduation(replace(table, base=base, adds=adds, deletes=deletes), winners, deleted)
 
 
-def prune(fabric: Fabric, states: set[int]) -> Fabric:
+def prune(fabric: Fabric, states: set[int] | DataFrame) -> Fabric:
     """Removes states with their deltas and closure members; lineage names are left alone."""
     gone = state_set(fabric.spark, states)
 
@@ -116,11 +130,13 @@ def prune(fabric: Fabric, states: set[int]) -> Fabric:
     )
 
 
-def collapse_plan(tree: StateTree, tips: list[int], locked: set[int]) -> dict[int, int]:
+def collapse_plan(tree: StateTree | SpreadTree, tips: list[int], locked: set[int] | DataFrame) -> dict[int, int] | DataFrame:
     """Each state that goes, with the surviving ancestor that takes it in.
 
     The root, tips, locked states and branch points survive, and so do their children.
     """
+    if isinstance(tree, SpreadTree):
+        return tree.collapse_pairs(tips, locked)
     count = Counter(p for s, p in tree.parents.items() if s != ROOT)
     fixed = {ROOT, *tips, *locked, *[s for s, c in count.items() if c >= 2]}
     anchor: dict[int, int] = {}
@@ -158,10 +174,10 @@ def collapse_table(table: FeatureTable, plan: DataFrame) -> FeatureTable:
     return replace(table, adds=latest(adds, "objectid").select(*table.adds.columns), deletes=deletes.select(*table.deletes.columns))
 
 
-def collapse(fabric: Fabric, plan: dict[int, int]) -> Fabric:
+def collapse(fabric: Fabric, plan: dict[int, int] | DataFrame) -> Fabric:
     """Folds the planned states away: deltas, closure members and modified tables move to the anchors, children of a folded state to its anchor."""
     spark = fabric.spark
-    pairs = spark.createDataFrame(sorted(plan.items()), "state long, anchor long") if plan else spark.createDataFrame([], "state long, anchor long")
+    pairs = plan if isinstance(plan, DataFrame) else spark.createDataFrame(sorted(plan.items()), "state long, anchor long")
     moved = pairs.select(F.col("state").alias("__from"), F.col("anchor").alias("__to"))
 
     def mapped(rows: DataFrame, column: str) -> DataFrame:
@@ -177,8 +193,10 @@ def collapse(fabric: Fabric, plan: dict[int, int]) -> Fabric:
     )
 
 
-def closure_census(fabric: Fabric, tree: StateTree) -> DataFrame:
+def closure_census(fabric: Fabric, tree: StateTree | SpreadTree) -> DataFrame:
     """(owner, name, n_over, n_under): closure members up to the tip that the walk lacks, and members of the walk that the closure lacks."""
+    if isinstance(tree, SpreadTree):
+        return tree.census(fabric.states, fabric.lineages, fabric.versions)
     versions = fabric.versions.filter("state_id is not null").join(fabric.states.select("state_id", "lineage_name"), "state_id").select("owner", "name", F.col("state_id").alias("tip"), "lineage_name")
     rows = versions.collect()
     walks = [(r.owner, r.name, s) for r in rows for s in tree.walk(int(r.tip))]
@@ -190,7 +208,7 @@ def closure_census(fabric: Fabric, tree: StateTree) -> DataFrame:
     return both.groupBy("owner", "name").agg(F.count_if(F.col("in_walk").isNull()).alias("n_over"), F.count_if(F.col("in_closure").isNull()).alias("n_under"))
 
 
-def closure_faults(fabric: Fabric, tree: StateTree) -> list[str]:
+def closure_faults(fabric: Fabric, tree: StateTree | SpreadTree) -> list[str]:
     """Why graduating or collapsing would be unsafe for readers of the closure: tips of one lineage that are not on one chain, members not in the walk."""
     named = fabric.versions.filter("state_id is not null").join(fabric.states.select("state_id", "lineage_name"), "state_id").collect()
     faults = []
@@ -199,7 +217,9 @@ def closure_faults(fabric: Fabric, tree: StateTree) -> list[str]:
         groups.setdefault(int(v.lineage_name), []).append(v)
     for lineage, members in sorted(groups.items()):
         top = max(int(m.state_id) for m in members)
-        stray = [f"{m.owner}.{m.name}" for m in members if int(m.state_id) not in {*tree.walk(top), top}]
+        walk = tree.walk(top)
+        on = {r.state for r in state_set(fabric.spark, walk).join(state_set(fabric.spark, {int(m.state_id) for m in members}), "state", "left_semi").collect()} if isinstance(walk, DataFrame) else {*walk}
+        stray = [f"{m.owner}.{m.name}" for m in members if int(m.state_id) not in {*on, top}]
         if stray:
             faults.append(f"lineage {lineage}: {', '.join(sorted(stray))} off the chain of {top}")
     faults += [f"{r.owner}.{r.name}: {r.n_over} members that are no ancestors" for r in closure_census(fabric, tree).filter("n_over > 0").collect()]
@@ -249,7 +269,7 @@ def compact(
         raise CompactionRefused("; ".join(faults))
     if graduate:
         prefix = graduable_prefix(tree, tips)
-        if not prefix:
+        if prefix.isEmpty() if isinstance(prefix, DataFrame) else not prefix:
             result.skipped = "no-graduable-rows"
         else:
             for name in tables or sorted(fabric.tables):
@@ -258,15 +278,15 @@ def compact(
                 fabric = fabric.with_table(done.table)
             result.graduated_upserts, result.graduated_deletes = (sum(c[i] for c in result.by_table.values()) for i in (0, 1))
     if prune_states:
-        gone = unreachable_states(tree, tips) - locked_branches(fabric, tree)
+        gone = prunable_states(fabric, tree, tips)
         before = _delta_rows(fabric)
         fabric = prune(fabric, gone)
-        result.adds_removed, result.states_removed = before - _delta_rows(fabric), len(gone)
-        tree = StateTree({s: p for s, p in tree.parents.items() if s not in gone})
+        result.adds_removed, result.states_removed = before - _delta_rows(fabric), gone.count() if isinstance(gone, DataFrame) else len(gone)
+        tree = tree.without(gone)
     if collapse_lineages:
         plan = collapse_plan(tree, tips, locked_branches(fabric, tree))
         fabric = collapse(fabric, plan)
-        result.lineages_collapsed = len(plan)
+        result.lineages_collapsed = plan.count() if isinstance(plan, DataFrame) else len(plan)
     if verify:
         result.self_check = same_visible_rows(start, fabric)
     return fabric, result

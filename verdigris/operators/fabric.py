@@ -6,8 +6,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.operators.hierarchy import ancestors_of, links_of
-from verdigris.session import cut_lineage
+from verdigris.operators.hierarchy import links_of
+from verdigris.operators.spreadtree import BrokenLineageError, SpreadTree
 
 #: The base state: never a member of a lineage, never collapsed into, never pruned.
 ROOT = 0
@@ -19,42 +19,26 @@ class NoCommonAncestorError(ValueError):
     code = "NO_COMMON_ANCESTOR"
 
 
-class BrokenLineageError(ValueError):
-    code = "BROKEN_LINEAGE"
-
-
 class VersionNotFoundError(KeyError):
     code = "VERSION_NOT_FOUND"
 
 
 class StateTree:
-    """Parents of states, held on the driver: of all, or, beyond `most` states, of those on the chains of some tips, which joins find.
-
-    Beyond `most` the tree of no tips in particular, and chains of more than `most` states, are refused.
-    """
+    """Parents of all states, held on the driver."""
 
     def __init__(self, parents: dict[int, int]):
         self.parents = parents
         self._children: dict[int, list[int]] | None = None
 
     @classmethod
-    def of(cls, states: DataFrame, most: int = INDEX_NODES, tips: list[int | None] | None = None) -> StateTree:
-        links = links_of(states, "state_id", "parent_state_id")
-        rows = links.limit(most + 1).toPandas()
-        if len(rows) <= most:
-            return cls(_parents(rows))
-        if tips is None:
-            raise ValueError(f"more than {most} states")
-        links = cut_lineage(links)
-        parents: dict[int, int] = {}
-        for tip in tips:
-            if tip is None or tip == ROOT or tip in parents:
-                continue
-            chain = ancestors_of(links, int(tip), ROOT).withColumnRenamed("state", "node")
-            parents |= _parents(links.join(chain, "node", "left_semi").limit(most + 1).toPandas())
-            if len(parents) > most:
-                raise ValueError(f"more than {most} states in the lineages")
-        return cls(parents)
+    def of(cls, states: DataFrame, most: int | None = None) -> StateTree | SpreadTree:
+        """The tree of up to `most` states (INDEX_NODES), beyond them the same as tables. It is kept with its table, which never changes."""
+        most = INDEX_NODES if most is None else most
+        kept = getattr(states, "tree", None)
+        if kept is None or kept[0] != most:
+            rows = links_of(states, "state_id", "parent_state_id").limit(most + 1).toPandas()
+            states.tree = kept = (most, cls(_parents(rows)) if len(rows) <= most else SpreadTree(states, most))
+        return kept[1]
 
     def walk(self, tip: int | None) -> list[int]:
         """The tip and its ancestors without the root, from the tip on; empty for no tip or the root. A missing state or a cycle raises."""
@@ -83,6 +67,9 @@ class StateTree:
             return ROOT
         raise BrokenLineageError(f"states {child} and {parent} share no ancestor")
 
+    def without(self, gone: set[int]) -> StateTree:
+        return StateTree({s: p for s, p in self.parents.items() if s not in gone})
+
     @property
     def children(self) -> dict[int, list[int]]:
         if self._children is None:
@@ -148,9 +135,8 @@ class Fabric:
     def spark(self) -> SparkSession:
         return self.states.sparkSession
 
-    def tree(self, *tips: int | None) -> StateTree:
-        """The tree of all states; with tips only their chains are sure to be in it."""
-        return StateTree.of(self.states, INDEX_NODES, list(tips) if tips else None)
+    def tree(self) -> StateTree | SpreadTree:
+        return StateTree.of(self.states)
 
     def with_table(self, table: FeatureTable) -> Fabric:
         return replace(self, tables=self.tables | {table.name: table})
@@ -180,7 +166,10 @@ def append_rows(rows: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def state_set(spark: SparkSession, states) -> DataFrame:
-    """State ids as a table; its size is known to the planner, which broadcasts it if it is small."""
+    """State ids as a table; its size is known to the planner, which broadcasts it if it is small. A table is left as it is."""
     import pandas as pd
 
+    if isinstance(states, DataFrame):
+        return states
+
     return spark.createDataFrame(pd.DataFrame({"state": pd.Series(sorted(states), dtype="int64")}), "state long")

@@ -347,9 +347,9 @@ class Forest:
             result = result.unionByName(more)
         return result
 
-    def subtree_sizes(self) -> DataFrame:
-        """(node, n): the number of nodes whose chain goes through the node, itself counted; for links without cycles."""
-        own = [None]
+    def subtree_sizes(self, weights: DataFrame | None = None) -> DataFrame:
+        """(node, n): the number of nodes whose chain goes through the node, itself counted, or the sum of their weights (node, own); without cycles."""
+        own = [weights]
         for level, above in zip(self.levels, self.levels[1:]):
             sizes = level.rows.withColumn("own", F.lit(1).cast("long")) if own[-1] is None else level.rows.join(own[-1], "node")
             own.append(cut_lineage(sizes.groupBy(F.col("top").alias("node")).agg(F.sum("own").alias("own"))))

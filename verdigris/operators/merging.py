@@ -95,7 +95,7 @@ def ranges(fabric: Fabric, name: str) -> tuple[StateTree, int, int, int]:
     """(tree, child tip, parent tip, common ancestor) of a version and its parent."""
     version = fabric.find_version(name)
     child, parent = fabric.tip(name), fabric.tip(parent_of(fabric, version))
-    tree = fabric.tree(child, parent)
+    tree = fabric.tree()
     return tree, child, parent, tree.common_ancestor(child, parent)
 
 
@@ -279,7 +279,7 @@ def post(fabric: Fabric, name: str, trim: bool = False, delete_version: bool = F
     return fabric, PostResult(posted, tip)
 
 
-def external_references(fabric: Fabric, owner: str, name: str, states: list[int]) -> DataFrame:
+def external_references(fabric: Fabric, owner: str, name: str, states: list[int] | DataFrame) -> DataFrame:
     """(state) of the states that other versions hold by closure or tip, or that have a child outside of them."""
     wanted = state_set(fabric.spark, states)
     others = fabric.versions.filter(~((F.lower("owner") == owner.lower()) & (F.lower("name") == name.lower()))).filter("state_id is not null")
@@ -301,8 +301,8 @@ def _without_own(rows: DataFrame, key: str, ids: DataFrame, states: DataFrame) -
 def revert(fabric: Fabric, name: str, features: list[tuple[str, int]]) -> tuple[Fabric, int]:
     """Removes the version's own deltas of the given (table, objectid); refused if others hold its states. Counts the features given."""
     tree, child, _, ancestor = ranges(fabric, name)
-    version, own = fabric.find_version(name), tree.states_in_range(child, ancestor)
-    if not own:
+    version, own = fabric.find_version(name), state_set(fabric.spark, tree.states_in_range(child, ancestor))
+    if own.isEmpty():
         return fabric, 0
     if not external_references(fabric, version.owner, version["name"], own).isEmpty():
         raise StateSharedError(name)
@@ -310,7 +310,7 @@ def revert(fabric: Fabric, name: str, features: list[tuple[str, int]]) -> tuple[
     for table in {t for t, _ in features}:
         ids = spark.createDataFrame([(int(o),) for t, o in features if t == table], "__oid long").distinct()
         source = fabric.tables[table]
-        adds, deletes = (_without_own(rows, key, ids, state_set(spark, own)) for rows, key in ((source.adds, "objectid"), (source.deletes, "sde_deletes_row_id")))
+        adds, deletes = (_without_own(rows, key, ids, own) for rows, key in ((source.adds, "objectid"), (source.deletes, "sde_deletes_row_id")))
         fabric = fabric.with_table(replace(source, adds=adds, deletes=deletes))
     return fabric, len(features)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, StateTree, state_set
+from verdigris.operators.hierarchy import paths
+from verdigris.operators.spreadtree import SpreadTree
 
 
 def of_states(rows: DataFrame, column: str, states: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def read_states(table: FeatureTable, states: DataFrame) -> DataFrame:
 def read_version(fabric: Fabric, table: str, version: str) -> DataFrame:
     """The table as the version sees it; a version at the root state sees the base rows."""
     tip = fabric.tip(version)
-    return read_states(fabric.tables[table], state_set(fabric.spark, fabric.tree(tip).walk(tip)))
+    return read_states(fabric.tables[table], state_set(fabric.spark, fabric.tree().walk(tip)))
 
 
 def read_options(
@@ -112,10 +114,13 @@ def read_closure(fabric: Fabric, table: str, version: str) -> DataFrame:
     return base.select(*columns).unionByName(surviving_adds(source, states).select(*columns))
 
 
-def lineage_pairs(spark: SparkSession, tree: StateTree, tips: list[int]) -> DataFrame:
+def lineage_pairs(spark: SparkSession, tree: StateTree | SpreadTree, tips: list[int]) -> DataFrame:
     """(tip, state) for every distinct tip and each state of its walk."""
     import pandas as pd
 
+    if isinstance(tree, SpreadTree):
+        wanted = tree.rooted.join(spark.createDataFrame([(int(t),) for t in {*tips}], "node long"), "node", "left_semi").select("node")
+        return paths(tree.solved, (ROOT,)).join(wanted, "node").select(F.col("node").alias("tip"), F.explode("path").alias("state")).filter(F.col("state") != ROOT)
     pairs = [(t, s) for t in sorted(set(tips)) for s in tree.walk(t)]
     return spark.createDataFrame(pd.DataFrame(pairs, columns=["tip", "state"], dtype="int64"), "tip long, state long")
 
@@ -149,7 +154,7 @@ def version_signatures(fabric: Fabric, table: str, measures: dict[str, Column] |
     measures = measures or {"signature": row_signature(columns)}
     versions = fabric.versions.select("owner", "name", F.coalesce("state_id", F.lit(ROOT)).alias("tip"))
     tips = [r.tip for r in versions.select("tip").distinct().collect()]
-    pairs = lineage_pairs(fabric.spark, fabric.tree(*tips), tips)
+    pairs = lineage_pairs(fabric.spark, fabric.tree(), tips)
     shown, hidden = all_version_deltas(source, pairs)
 
     def sums(rows: DataFrame, keys: list[str], sign: int) -> DataFrame:
@@ -165,8 +170,3 @@ def version_signatures(fabric: Fabric, table: str, measures: dict[str, Column] |
     joined = versions.join(deltas, "tip", "left")
     return joined.select("owner", "name", *[(F.lit(total[k] or 0).cast(kinds[k]) + F.coalesce(f"d_{k}", F.lit(0))).alias(k) for k in ("n_rows", *measures)])
 
-
-def newest_by_window(rows: DataFrame, key: str = "objectid", state: str = "sde_state_id") -> DataFrame:
-    """The rows of the largest state of each key, by row_number."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(state)))
-    return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")

@@ -139,7 +139,7 @@ class Table:
 
     def read_feature_at_state(self, objectid: int, ancestor: int, version: str = DEFAULT) -> dict | None:
         tip = self._gdb.fabric.tip(version)
-        states = state_set(self._gdb.spark, self._gdb.fabric.tree(tip).walk(tip))
+        states = state_set(self._gdb.spark, self._gdb.fabric.tree().walk(tip))
         row = versioned.feature_at_state(self.source, objectid, ancestor, states).first()
         return to_feature(row, self.shape_field) if row is not None else None
 
@@ -287,7 +287,8 @@ class Geodatabase:
     def lineage(self, version: str) -> list[int] | None:
         """The version's walk; None at the root state."""
         tip = self.fabric.tip(version)
-        return self.fabric.tree(tip).walk(tip) or None
+        walk = self.fabric.tree().walk(tip)
+        return (sorted((r.state for r in walk.collect()), reverse=True) if isinstance(walk, DataFrame) else walk) or None
 
     def set_current_version(self, name: str) -> None:
         if self.get_version(name) is None:
@@ -344,7 +345,7 @@ class Geodatabase:
 
     def version_statistics(self, version: str) -> list:
         tip = self.fabric.tip(version)
-        states = state_set(self.spark, self.fabric.tree(tip).walk(tip))
+        states = state_set(self.spark, self.fabric.tree().walk(tip))
         return changes.version_stats(self.fabric, states).collect()
 
     def _merged(self, version: str, operation):
