@@ -37,20 +37,21 @@ def signed_images(changes: DataFrame) -> DataFrame:
     return terms.groupBy("objectid", F.col("t.row.state").alias("state"), F.col("t.row.image").alias("image")).agg(F.sum("t.sign").alias("multiplicity"))
 
 
-def deduplicated_changes(adds: DataFrame, deletes: DataFrame, lineage: DataFrame) -> DataFrame:
-    """The changes of `lineage` (state), for signed_images, from repeated and unordered deliveries; the image is the largest edit_seq of a delivery.
+def deduplicated_changes(adds: DataFrame, deletes: DataFrame, lineage: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
+    """The changes of `lineage` (state), for signed_images, from repeated and unordered deliveries; the image is the largest edit_seq of a delivery, with
+    `payload` a row of edit_seq and these columns of that delivery, of several with the same edit_seq the largest.
 
     adds(objectid, sde_state_id, edit_seq), deletes(sde_deletes_row_id, sde_state_id, deleted_at). Rows of state 0 among the adds are the base.
     Null object ids and states name nothing and are left out; a null edit_seq counts as 0.
     """
-    adds, deletes = adds.select("objectid", "sde_state_id", "edit_seq"), deletes.select("sde_deletes_row_id", "sde_state_id", "deleted_at")
+    adds, deletes = adds.select("objectid", "sde_state_id", F.coalesce("edit_seq", F.lit(0)).alias("edit_seq"), *payload), deletes.select("sde_deletes_row_id", "sde_state_id", "deleted_at")
     within = F.col("state") == F.col("sde_state_id")
     marked = lineage.select("state")
     images = (
         adds.filter("objectid is not null and sde_state_id is not null")
         .join(marked.unionByName(marked.sparkSession.createDataFrame([(0,)], "state long")), within, "left_semi")
         .groupBy("objectid", F.col("sde_state_id").alias("state"))
-        .agg(F.coalesce(F.max("edit_seq"), F.lit(0)).alias("image"))
+        .agg(F.max(F.struct("edit_seq", *payload) if payload else F.col("edit_seq")).alias("image"))
         .withColumn("hides_base", F.col("state") != 0)
     )
     gone = (
@@ -60,7 +61,7 @@ def deduplicated_changes(adds: DataFrame, deletes: DataFrame, lineage: DataFrame
         .filter("own is not null or from_base is not null")
         .groupBy(F.col("sde_deletes_row_id").alias("objectid"), F.col("own").alias("state"))
         .agg(F.max(F.col("from_base").isNotNull()).alias("hides_base"))
-        .withColumn("image", F.lit(None).cast("long"))
+        .withColumn("image", F.lit(None).cast(images.schema["image"].dataType))
     )
     return images.unionByName(gone)
 
@@ -71,10 +72,10 @@ def version_tip(versions: DataFrame, owner: str, name: str) -> int | None:
     return row[0]
 
 
-def current_rows(adds: DataFrame, deletes: DataFrame, states: DataFrame, tip: int | None, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """(objectid, state, image) that the version with `tip` shows: the images of positive multiplicity."""
+def current_rows(adds: DataFrame, deletes: DataFrame, states: DataFrame, tip: int | None, payload: tuple[str, ...] = (), block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(objectid, state, image) that the version with `tip` shows: the images of positive multiplicity, with `payload` whole rows."""
     lineage = ancestors_of(links_of(states, "state_id", "parent_state_id"), tip, 0, block_nodes)
-    return signed_images(deduplicated_changes(adds, deletes, lineage)).filter("multiplicity > 0").select("objectid", "state", "image")
+    return signed_images(deduplicated_changes(adds, deletes, lineage, payload)).filter("multiplicity > 0").select("objectid", "state", "image")
 
 
 def version_outcomes(adds: DataFrame, deletes: DataFrame, states: DataFrame, versions: DataFrame, owner: str = "sde", name: str = "DEFAULT", block_nodes: int = BLOCK_NODES) -> DataFrame:

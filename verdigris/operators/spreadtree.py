@@ -67,7 +67,8 @@ class SpreadTree:
 
     def branches(self, locked) -> DataFrame:
         """(state) of the locked states with all their ancestors, without the root, and descendants."""
-        tips = cut_lineage(self._tips(locked).join(self.links.select("node"), "node", "left_semi"))
+        # A lock of the root is one of all states.
+        tips = cut_lineage(self.links.select("node").join(locked.select(F.col("state").alias("node")), "node", "left_semi"))
         marked = self.links.join(tips.withColumn("hit", F.lit(True)), "node", "left")
         ends = Forest(_rows_of(marked, _ended((ROOT,)) | F.col("hit").isNotNull(), F.when(F.col("hit"), F.lit("hit")).otherwise(F.lit("root"))), self._most).ends()
         below = ends.filter("kind = 'hit'").select(F.col("node").alias("state"))

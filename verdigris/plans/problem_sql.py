@@ -104,6 +104,16 @@ UNION ALL SELECT registration_id, objectid, state_id, 'value', field FROM both_s
   ELSE a <> b END
 """
 
+_PATHS = f"""{_FAULTS.rsplit("tips AS (", 1)[0]}
+tree(node, kind, root_id, depth, path) AS (
+  SELECT node, 'root', node, CAST(0 AS BIGINT), [node] FROM links WHERE node = 0 OR parent IS NULL
+  UNION ALL SELECT node, 'detached', parent, CAST(1 AS BIGINT), [node] FROM links WHERE parent IS NOT NULL AND node <> 0 AND parent NOT IN (SELECT node FROM links)
+  UNION ALL SELECT node, 'below', smallest, CAST(0 AS BIGINT), [node] FROM cycles
+  UNION ALL SELECT l.node, t.kind, t.root_id, t.depth + 1, list_append(t.path, l.node) FROM links l JOIN tree t ON l.parent = t.node WHERE l.node <> 0 AND l.node NOT IN (SELECT node FROM cycles)),
+around(start, here, path) AS (
+  SELECT node, node, [node] FROM cycles
+  UNION ALL SELECT a.start, l.parent, list_prepend(l.parent, a.path) FROM around a JOIN links l ON l.node = a.here WHERE l.parent <> a.start)"""
+
 SQL = {
     "p2_found": f"{_ORPHANS} SELECT DISTINCT ref_table, ref_key, state_id, period FROM orphans",
     "p2_counts": f"{_ORPHANS} SELECT ref_table, period, count(*) AS n_rows, count(DISTINCT state_id) AS n_states FROM orphans GROUP BY ref_table, period",
@@ -112,11 +122,25 @@ SELECT s.objectid, CASE WHEN b.objectid IS NULL THEN 'insert' ELSE 'update' END
 UNION ALL SELECT objectid, 'delete', CAST(0 AS BIGINT) FROM base
 WHERE objectid NOT IN (SELECT objectid FROM shown) AND objectid NOT IN (SELECT objectid FROM base_shown)""",
     "p3_rows": f"""{_FEED}
-SELECT objectid, sde_state_id, edit_seq FROM shown UNION ALL SELECT objectid, CAST(0 AS BIGINT), edit_seq FROM base_shown""",
+SELECT r.objectid, r.sde_state_id, r.edit_seq, r.val, r.parcel_class, r.area_m2
+FROM (SELECT objectid, sde_state_id, edit_seq FROM shown UNION ALL SELECT objectid, CAST(0 AS BIGINT), edit_seq FROM base_shown) s
+JOIN (SELECT * FROM a19 QUALIFY row_number() OVER (PARTITION BY objectid, sde_state_id, edit_seq ORDER BY val DESC NULLS LAST, parcel_class DESC NULLS LAST, area_m2 DESC NULLS LAST) = 1) r
+  ON r.objectid = s.objectid AND r.sde_state_id = s.sde_state_id AND r.edit_seq = s.edit_seq""",
+    "p5_hierarchy": f"""{_PATHS},
+below_of AS (SELECT a AS node, count(*) AS n FROM (SELECT unnest(path[:-2]) AS a FROM tree) GROUP BY a),
+tied AS (SELECT root_id, count(*) AS n FROM tree WHERE kind = 'below' GROUP BY root_id)
+SELECT t.node AS node_id, t.kind, t.root_id, t.depth, coalesce(b.n, 0) AS n_descendants, t.path
+FROM tree t LEFT JOIN below_of b ON b.node = t.node WHERE t.node NOT IN (SELECT node FROM cycles)
+UNION ALL SELECT c.node, 'cycle', c.smallest, c.length, d.n - 1, a.path
+FROM cycles c JOIN tied d ON d.root_id = c.smallest JOIN (SELECT start, arg_max(path, len(path)) AS path FROM around GROUP BY start) a ON a.start = c.node""",
+
     "p4_found": f"""
 SELECT 'a19' AS src_table, * FROM (SELECT {_ROWS}) WHERE n_rows * 200 >= (SELECT count(*) FROM a19)
 UNION ALL SELECT 'sde_state_lineages', * FROM (SELECT {_MEMBERS}) WHERE n_rows * 200 >= (SELECT count(*) FROM sde_state_lineages)""",
     "p4_counts": f"SELECT 'a19' AS src_table, {_ROWS} UNION ALL SELECT 'sde_state_lineages', {_MEMBERS}",
     "p5_found": _FAULTS,
+    "p5_descendants": f"""{_PATHS}
+SELECT a AS node_id, node AS descendant_id FROM (SELECT unnest(path[:-2]) AS a, node FROM tree WHERE node NOT IN (SELECT node FROM cycles)) WHERE a NOT IN (SELECT node FROM cycles)
+UNION ALL SELECT c.node, t.node FROM cycles c JOIN tree t ON t.kind = 'below' AND t.root_id = c.smallest WHERE t.node <> c.node""",
     "p6_found": _DIFFERENCES,
 }

@@ -40,10 +40,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that sde.DEFAULT shows: each object with the state and edit_seq of its visible row."""
+    """The rows that sde.DEFAULT shows, whole: each object with the state and all values of its visible row."""
     adds, deletes, states, versions = _feed(spark, sf_dir)
-    shown = current_rows(adds, deletes, states, version_tip(versions, "sde", "DEFAULT"))
-    return shown.select("objectid", F.col("state").alias("sde_state_id"), F.col("image").alias("edit_seq"))
+    shown = current_rows(adds, deletes, states, version_tip(versions, "sde", "DEFAULT"), ("val", "parcel_class", "area_m2"))
+    return shown.select("objectid", F.col("state").alias("sde_state_id"), "image.*")
 
 
 _KEYED = (("a19", "sde_state_id", "objectid"), ("sde_state_lineages", "lineage_name", "lineage_id"))
