@@ -16,7 +16,7 @@ def values_equal(a: Column, b: Column, kind: T.DataType) -> Column:
     """Equality of two values of a type: nulls are equal, floating numbers within the tolerance, NaN equals NaN."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         gap = F.abs(a - b)
-        close = (gap <= TOLERANCE) | (gap <= F.greatest(F.abs(a), F.abs(b)) * TOLERANCE)
+        close = (gap < TOLERANCE) | (gap < F.greatest(F.abs(a), F.abs(b)) * TOLERANCE)
         return a.eqNullSafe(b) | F.coalesce(close, F.lit(False))
     return a.eqNullSafe(b)
 
@@ -25,12 +25,13 @@ def compared_columns(columns: list[str]) -> list[str]:
     return [c for c in columns if c.upper() not in NOT_COMPARED]
 
 
-def row_hash(rows: DataFrame, columns: list[str]) -> Column:
-    """SHA-256 of a row: each value as its length and text, so that neither nulls nor separators can be confused."""
+def row_hash(rows: DataFrame, columns: list[str], types: dict[str, T.DataType] | None = None) -> Column:
+    """SHA-256 of a row: each value as its length and text, so that neither nulls nor separators can be confused; as values of `types` if given."""
     kinds = dict(rows.dtypes)
 
     def part(name: str) -> Column:
-        value = F.hex(F.col(name)) if kinds[name] == "binary" else F.col(name).cast("string")
+        column = F.col(name).cast(types[name]) if types else F.col(name)
+        value = F.hex(column) if kinds[name] == "binary" else column.cast("string")
         return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
 
     return F.sha2(F.concat_ws("|", *[part(c) for c in columns]), 256)

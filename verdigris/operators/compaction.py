@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -250,11 +251,12 @@ def compact(
     tables: list[str] | None = None,
     verify: bool = False,
     bypass_closure_gate: bool = False,
+    on_progress: Callable[[str, CompactionResult], None] | None = None,
 ) -> tuple[Fabric, CompactionResult]:
     """Runs the chosen phases in the order graduate, prune, collapse; `tables` limits graduation only.
 
     The default prunes only. Refuses without the acknowledgement, without a phase, on failed preconditions, and, for the two other phases, on closure faults.
-    Pruned adds and markers both count as adds_removed.
+    Pruned adds and markers both count as adds_removed. `on_progress` is told of each phase when it is done, with the result so far.
     """
     if not acknowledge_experimental_unsafe:
         raise CompactionRefused("compaction must be acknowledged as experimental and unsafe")
@@ -263,7 +265,7 @@ def compact(
         raise CompactionRefused("no phase chosen")
     if violations := preconditions(fabric.states, fabric.lineages, fabric.versions).collect():
         raise CompactionRefused("; ".join(f"{v.violation}: {v.n}" for v in violations))
-    result, start = CompactionResult(phases), fabric
+    result, start, tell = CompactionResult(phases), fabric, on_progress or (lambda *_: None)
     tree, tips = fabric.tree(), tips_of(fabric)
     if (graduate or collapse_lineages) and not bypass_closure_gate and (faults := closure_faults(fabric, tree)):
         raise CompactionRefused("; ".join(faults))
@@ -277,18 +279,22 @@ def compact(
                 result.by_table[name] = (done.upserts.count(), done.deletes.count())
                 fabric = fabric.with_table(done.table)
             result.graduated_upserts, result.graduated_deletes = (sum(c[i] for c in result.by_table.values()) for i in (0, 1))
+        tell("graduate", result)
     if prune_states:
         gone = prunable_states(fabric, tree, tips)
         before = _delta_rows(fabric)
         fabric = prune(fabric, gone)
         result.adds_removed, result.states_removed = before - _delta_rows(fabric), gone.count() if isinstance(gone, DataFrame) else len(gone)
         tree = tree.without(gone)
+        tell("prune", result)
     if collapse_lineages:
         plan = collapse_plan(tree, tips, locked_branches(fabric, tree))
         fabric = collapse(fabric, plan)
         result.lineages_collapsed = plan.count() if isinstance(plan, DataFrame) else len(plan)
+        tell("collapse", result)
     if verify:
         result.self_check = same_visible_rows(start, fabric)
+        tell("verify", result)
     return fabric, result
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.values import compared_columns, row_hash, values_equal
 from verdigris.operators.fabric import FeatureTable
-from verdigris.operators.versioned import newest_adds, of_states, read_states
+from verdigris.operators.versioned import newest_adds, of_states
 
 
 def conflicts(child: DataFrame, parent: DataFrame) -> DataFrame:
@@ -112,15 +114,55 @@ def classify_changes(table: FeatureTable, child_range: DataFrame, child: DataFra
 
     child equal to ancestor: `drop`; parent equal to ancestor: `replay`, or `delete` where the child has none; child equal to parent: `drop`; else
     `conflict_add` or `conflict_delete`. Each argument after the table is a set of states: the child's own range, and the three lineages.
+
+    Every delta is read once, with marks of the sets that its state is in; one aggregate by object resolves it for all three lineages, and only the
+    touched objects meet the base.
     """
-    touched = touched_objects(table, child_range)
     columns = [c for c in table.columns if c in table.base.columns]
-
-    def resolved(states: DataFrame, name: str) -> DataFrame:
-        rows = read_states(_only(table, touched), states)
-        return rows.select("objectid", row_hash(rows, columns).alias(name))
-
-    joined = touched.join(resolved(child, "c"), "objectid", "left").join(resolved(ancestor, "a"), "objectid", "left").join(resolved(parent, "p"), "objectid", "left")
+    sets = {"r": child_range, "c": child, "a": ancestor, "p": parent}
+    rows = [s.select("state", *[F.lit(k == name).alias(k) for k in sets]) for name, s in sets.items()]
+    marks = reduce(DataFrame.unionByName, rows).groupBy("state").agg(*[F.max(k).alias(k) for k in sets])
+
+    def marked(prefix: str) -> DataFrame:
+        return marks.select(F.col("state").alias(f"__{prefix}"), *[F.col(k).alias(f"__{prefix}_{k}") for k in sets])
+
+    nothing = F.lit(None)
+    # Both kinds of rows are hashed as values of one type.
+    kinds = {f.name: f.dataType for f in table.base.select(*columns).unionByName(table.adds.select(*columns)).schema.fields}
+
+    def hashed(rows: DataFrame) -> Column:
+        return row_hash(rows, columns, kinds)
+
+    adds = table.adds.join(marked("s"), F.col("sde_state_id") == F.col("__s")).select(
+        F.col("objectid").alias("__oid"),
+        F.col("sde_state_id").alias("__add"),
+        hashed(table.adds).alias("__hash"),
+        nothing.cast("long").alias("__gone"),
+        *[F.col(f"__s_{k}").alias(f"__at_{k}") for k in sets],
+        *[F.col(f"__s_{k}").alias(f"__hides_{k}") for k in sets],
+    )
+    known = table.deletes.join(marked("s"), F.col("sde_state_id") == F.col("__s"), "left").join(marked("d"), F.col("deleted_at") == F.col("__d"), "left")
+    deletes = known.filter("__s is not null or __d is not null").select(
+        F.col("sde_deletes_row_id").alias("__oid"),
+        nothing.cast("long").alias("__add"),
+        nothing.cast("string").alias("__hash"),
+        F.col("sde_state_id").alias("__gone"),
+        *[F.coalesce(f"__s_{k}", F.lit(False)).alias(f"__at_{k}") for k in sets],
+        *[F.coalesce(f"__d_{k}", F.lit(False)).alias(f"__hides_{k}") for k in sets],
+    )
+    found = [F.max(F.col("__at_r") | F.col("__hides_r")).alias("__touched")]
+    for k in ("c", "a", "p"):
+        newest = F.when(F.col(f"__at_{k}"), F.col("__add"))
+        found += [F.max(newest).alias(f"__add_{k}"), F.max_by("__hash", newest).alias(f"__hash_{k}"), F.max(F.when(F.col(f"__at_{k}"), F.col("__gone"))).alias(f"__gone_{k}"), F.max(f"__hides_{k}").alias(f"__hidden_{k}")]
+    touched = adds.unionByName(deletes).groupBy("__oid").agg(*found).filter("__touched")
+    base = table.base.select("objectid", hashed(table.base).alias("__base"))
+    joined = touched.join(base, F.col("__oid") == F.col("objectid"), "left")
+
+    def resolved(k: str) -> Column:
+        shown = F.col(f"__gone_{k}").isNull() | (F.col(f"__gone_{k}") <= F.col(f"__add_{k}"))
+        return F.when(F.col(f"__add_{k}").isNotNull(), F.when(shown, F.col(f"__hash_{k}"))).when(~F.col(f"__hidden_{k}"), F.col("__base"))
+
+    values = joined.select(F.col("__oid").alias("objectid"), *[resolved(k).alias(k) for k in ("c", "a", "p")])
     present = F.col("c").isNotNull()
     outcome = (
         F.when(F.col("c").eqNullSafe(F.col("a")), F.lit("drop"))
@@ -128,19 +170,4 @@ def classify_changes(table: FeatureTable, child_range: DataFrame, child: DataFra
         .when(F.col("c").eqNullSafe(F.col("p")), F.lit("drop"))
         .otherwise(F.when(present, F.lit("conflict_add")).otherwise(F.lit("conflict_delete")))
     )
-    return joined.select("objectid", outcome.alias("outcome"))
-
-
-def _only(table: FeatureTable, objects: DataFrame) -> FeatureTable:
-    """The table with the rows of these objects only, so that three resolutions read three small tables."""
-    ids = objects.select(F.col("objectid").alias("__only"))
-    return FeatureTable(
-        table.name,
-        table.base.join(ids, F.col("objectid") == F.col("__only"), "left_semi"),
-        table.adds.join(ids, F.col("objectid") == F.col("__only"), "left_semi"),
-        table.deletes.join(ids, F.col("sde_deletes_row_id") == F.col("__only"), "left_semi"),
-        table.registration_id,
-        table.shape_field,
-    )
-
-
+    return values.select("objectid", outcome.alias("outcome"))

@@ -142,7 +142,10 @@ class Fabric:
         return replace(self, tables=self.tables | {table.name: table})
 
     def version_rows(self) -> list:
-        return self.versions.collect()
+        """The rows of all versions, kept with their table, which never changes."""
+        if getattr(self.versions, "kept_rows", None) is None:
+            self.versions.kept_rows = self.versions.collect()
+        return self.versions.kept_rows
 
     def find_version(self, name: str):
         """The row of `owner.name` or `name` (of owner sde), letter case ignored, cut at the first dot; None if there is none."""

@@ -12,6 +12,7 @@ from verdigris.operators.changes import all_changes, count_changes, table_change
 from verdigris.operators.conflicts import classify_changes, conflicts, detailed_conflicts
 from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, StateTree, append_rows, state_set
 from verdigris.operators.versioned import newest_adds, of_states
+from verdigris.session import cut_lineage
 
 
 class StateSharedError(RuntimeError):
@@ -75,14 +76,16 @@ def without_rows(table: FeatureTable, objects: DataFrame, state: int) -> Feature
 def apply_changes(table: FeatureTable, changes: DataFrame, target: int) -> FeatureTable:
     """Changes without conflict, copied to the child's state: inserts and updates as adds, updates also as markers, deletes as markers.
 
-    An update of an object that the child has itself added at the state is left as the child has it.
+    An update of an object that the child has itself added at the state is left as the child has it. A change whose row is not there fails when the rows
+    are written, since its marker alone would make the object vanish.
     """
     mine = table.adds.filter(F.col("sde_state_id") == target).select("objectid")
     updates = changes.filter("change_type = 'update'").join(mine, "objectid", "left_anti")
     copied = changes.filter("change_type = 'insert'").unionByName(updates)
     source = copied.select(F.col("objectid").alias("__oid"), F.col("state_id").alias("__from"))
-    rows = table.adds.join(source, (F.col("objectid") == F.col("__oid")) & (F.col("sde_state_id") == F.col("__from")))
-    rows = rows.withColumn("sde_state_id", F.lit(target).cast("long")).select(*table.adds.columns)
+    rows = source.join(table.adds, (F.col("objectid") == F.col("__oid")) & (F.col("sde_state_id") == F.col("__from")), "left")
+    missing = F.raise_error(F.concat(F.lit(f"{table.name}: no row to copy of object "), F.col("__oid").cast("string"))).cast("long")
+    rows = rows.withColumn("objectid", F.when(F.col("objectid").isNull(), missing).otherwise(F.col("objectid"))).withColumn("sde_state_id", F.lit(target).cast("long")).select(*table.adds.columns)
     marked = updates.select("objectid").unionByName(changes.filter("change_type = 'delete'").select("objectid"))
     return replace(table, adds=append_rows(table.adds, rows), deletes=append_rows(table.deletes, delete_markers(table, marked, target)))
 
@@ -108,30 +111,32 @@ def reconcile(fabric: Fabric, name: str, options: ReconcileOptions = ReconcileOp
     tree, child, parent, ancestor = ranges(fabric, name)
     spark = fabric.spark
     ours, theirs = (state_set(spark, tree.states_in_range(t, ancestor)) for t in (child, parent))
-    parent_changes = all_changes(fabric, theirs)
-    found = conflicts(all_changes(fabric, ours), parent_changes)
-    result = ReconcileResult(found.count(), ancestor)
+    # What is read again and again is computed once.
+    parent_changes = cut_lineage(all_changes(fabric, theirs))
+    found = cut_lineage(conflicts(all_changes(fabric, ours), parent_changes))
+    clashes = {r.table_name: r["count"] for r in found.groupBy("table_name").count().collect()}
+    result = ReconcileResult(sum(clashes.values()), ancestor)
     if options.detect_only or (options.abort_on_conflict and result.has_conflicts):
         return fabric, result
     if options.resolve_conflict_authoritative and not options.resolve_conflict:
         raise ValueError("an authoritative resolution needs a resolve_conflict callback")
+    total = {r.table_name: r["count"] for r in parent_changes.groupBy("table_name").count().collect()}
     for table in list(fabric.tables.values()):
         changes = parent_changes.filter(F.col("table_name") == table.name)
-        clashing = found.filter(F.col("table_name") == table.name)
-        plain = changes.join(clashing.select("objectid"), "objectid", "left_anti")
-        result.parent_changes_applied += plain.count()
-        detailed = detailed_conflicts(table, clashing)
-        resolved = _resolve(detailed, options)
-        target = resolved.filter("resolution = 'favor_target'").select("objectid")
-        table = without_rows(table, target, child)
-        taken = changes.join(target, "objectid", "left_semi")
-        result.parent_changes_applied += taken.count()
-        merged = resolved.filter("resolution = 'merge'")
-        n_merged = merged.count()
-        result.merged_count += n_merged
-        table = apply_changes(table, plain.unionByName(taken), child)
-        if n_merged:
-            table = _merge_rows(table, merged, child, options)
+        applied, counts = changes, {}
+        if clashes.get(table.name):
+            clashing = found.filter(F.col("table_name") == table.name)
+            resolved = cut_lineage(_resolve(detailed_conflicts(table, clashing), options))
+            counts = {r.resolution: r["count"] for r in resolved.groupBy("resolution").count().collect()}
+            kept = resolved.filter("resolution <> 'favor_target'").select("objectid")
+            applied = changes.join(kept, "objectid", "left_anti")
+        if counts.get("favor_target"):
+            table = without_rows(table, resolved.filter("resolution = 'favor_target'").select("objectid"), child)
+        result.parent_changes_applied += total.get(table.name, 0) - sum(n for k, n in counts.items() if k != "favor_target")
+        result.merged_count += counts.get("merge", 0)
+        table = apply_changes(table, applied, child)
+        if counts.get("merge"):
+            table = _merge_rows(table, resolved.filter("resolution = 'merge'"), child, options)
         fabric = fabric.with_table(table)
     members = state_set(spark, tree.states_in_range(parent, ancestor))
     fabric = add_to_lineage(fabric, child, members)

@@ -386,7 +386,10 @@ class Geodatabase:
         return self._merged(version, lambda f: merging.revert(f, version, features))
 
     def compact(self, **options) -> compaction.CompactionResult:
-        """Compaction under the exclusive lock; with editors active it is deferred, and nothing is done."""
+        """Compaction under the exclusive lock; with editors active it is deferred, and nothing is done.
+
+        No session is alive under that lock, so state locks that are left are stale and go first. If the versions change meanwhile, nothing is done either.
+        """
         if self.in_transaction:
             raise RuntimeError("compaction is no part of a transaction")
         if not options.get("acknowledge_experimental_unsafe"):
@@ -394,9 +397,14 @@ class Geodatabase:
         try:
             with self.store.compaction_lock(options.pop("wait_seconds", 30.0)):
                 self.refresh()
+                if not self.store.read().fabric.locks.isEmpty():
+                    self.store.change(lambda f: replace(f, locks=f.locks.limit(0)))
                 base = self.store.read()
                 fabric, result = compaction.compact(base.fabric, **options)
-                self._current = self.store.commit(base, fabric) if fabric is not base.fabric else base
+                try:
+                    self._current = self.store.commit(base, fabric) if fabric is not base.fabric else base
+                except SnapshotMovedError:
+                    return compaction.CompactionResult(result.phases, skipped="version-set-changed")
                 return result
         except LockTimeoutError:
             log.info("compaction deferred, editors are active")
