@@ -24,8 +24,8 @@ UNSPACED = ("ja", "zh")
 SHARD_SYMBOLS = 4_000_000
 #: Matches held at a time.
 GROUP_MATCHES = 4_000_000
-#: Bytes of test passages that are sent to every task at once.
-MOST_TEST_BYTES = 64_000_000
+#: Bytes of test passages that are sent to every task at once. A Python worker needs some twenty times as much for their index and the search.
+MOST_TEST_BYTES = 8_000_000
 _RUN = regex.compile(r"[\p{L}\p{N}]+")
 
 
