@@ -207,7 +207,10 @@ def near_operations(operations: DataFrame, tables: DataFrame, zones: DataFrame,
     found = near_and_inside(sites, zones.select(F.col("srid").alias("space"), F.col("zone_id").alias("region"), "boundary"), radius, **options)
     members = located.select("site", "op_id")
     right = found.join(members.select(F.col("site").alias("b"), F.col("op_id").alias("op_b")), "b")
-    near = right.filter("kind = 'near'").join(members.select(F.col("site").alias("a"), F.col("op_id").alias("op_a")), "a")
-    near = near.filter("op_a <> op_b").select("kind", F.least("op_a", "op_b").alias("key_a"), F.greatest("op_a", "op_b").alias("key_b"))
-    inside = right.filter("kind = 'inside'").select("kind", F.col("a").alias("key_a"), F.col("op_b").alias("key_b"))
-    return near.unionByName(inside).distinct()
+    # One pass for both kinds, so that no leaf is searched twice: what is inside a region meets no first site, and is spread by its own.
+    near = F.col("kind") == "near"
+    first = right.withColumn("first", F.when(near, F.col("a")).otherwise(F.xxhash64("b", F.lit("inside"))))
+    both = first.join(members.select(F.col("site").alias("first"), F.col("op_id").alias("op_a")), "first", "left")
+    pairs = both.filter(~near | (F.col("op_a") != F.col("op_b")))
+    low, high = F.least("op_a", "op_b"), F.greatest("op_a", "op_b")
+    return pairs.select("kind", F.when(near, low).otherwise(F.col("a")).alias("key_a"), F.when(near, high).otherwise(F.col("op_b")).alias("key_b")).distinct()
