@@ -129,9 +129,9 @@ JOIN (SELECT * FROM a19 QUALIFY row_number() OVER (PARTITION BY objectid, sde_st
     "p5_hierarchy": f"""{_PATHS},
 below_of AS (SELECT a AS node, count(*) AS n FROM (SELECT unnest(path[:-2]) AS a FROM tree) GROUP BY a),
 tied AS (SELECT root_id, count(*) AS n FROM tree WHERE kind = 'below' GROUP BY root_id)
-SELECT t.node AS node_id, t.kind, t.root_id, t.depth, coalesce(b.n, 0) AS n_descendants, t.path
+SELECT t.node AS node_id, t.kind, t.root_id, t.depth, coalesce(b.n, 0) AS n_descendants, array_to_string(t.path, '/') AS path
 FROM tree t LEFT JOIN below_of b ON b.node = t.node WHERE t.node NOT IN (SELECT node FROM cycles)
-UNION ALL SELECT c.node, 'cycle', c.smallest, c.length, d.n - 1, a.path
+UNION ALL SELECT c.node, 'cycle', c.smallest, c.length, d.n - 1, array_to_string(a.path, '/')
 FROM cycles c JOIN tied d ON d.root_id = c.smallest JOIN (SELECT start, arg_max(path, len(path)) AS path FROM around GROUP BY start) a ON a.start = c.node""",
 
     "p4_found": f"""

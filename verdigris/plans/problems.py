@@ -67,7 +67,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full_hierarchy(table(spark, sf_dir, "sde_states"), "state_id", "parent_state_id", unrooted=True)
+    """Every state with its end, depth, number of descendants and whole path, written as a/b/c."""
+    found = full_hierarchy(table(spark, sf_dir, "sde_states"), "state_id", "parent_state_id", unrooted=True)
+    return found.withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,21 @@ def _polygon_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_filter(rows, box, "within").select("op_id")
 
 
+_SQUARE = "concat('POLYGON((', x, ' ', y, ', ', x + 6, ' ', y, ', ', x + 6, ' ', y + 6, ', ', x, ' ', y + 6, ', ', x, ' ', y, '))')"
+_SEGMENT = "concat('LINESTRING(', x, ' ', y, ', ', x + 6, ' ', y, ')')"
+
+
+def _related(text: str, geometry, relationship: str):
+    """Squares or segments at the points, by their relation to a geometry."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _points(spark, sf_dir).withColumn("g", converted_geometry(F.expr(text)))
+        rows = rows.withColumn("shape", geometry_column(F.col("g.wkb")))
+        return spatial_filter(rows, geometry, relationship).select("objectid", "x", "y")
+
+    return run
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog, from items, types and registry cut out of table_info."""
     info = table(spark, sf_dir, "table_info")
@@ -86,6 +101,12 @@ QUERIES = {
     "spatial_envelope_disjoint": _filtered({"envelope": [10, 5, 40, 20]}, relationship="disjoint"),
     "spatial_within_polygon": _filtered({"wkt": _TRIANGLE}, relationship="within"),
     "spatial_distance": _distance,
+    "spatial_contains": _related(_SQUARE, {"wkt": "POINT(50 18)"}, "contains"),
+    "spatial_overlaps": _related(_SQUARE, {"envelope": [10, 5, 40, 20]}, "overlaps"),
+    "spatial_crosses": _related(_SEGMENT, {"envelope": [10, 5, 40, 20]}, "crosses"),
+    "spatial_touches_squares": _related(_SQUARE, {"envelope": [10, 5, 40, 20]}, "touches"),
+    "spatial_within_squares": _related(_SQUARE, {"envelope": [10, 5, 40, 20]}, "within"),
+    "spatial_intersects_squares": _related(_SQUARE, {"envelope": [10, 5, 40, 20]}, "intersects"),
     "spatial_line_within": _polygon_texts,
     "geojson_points": _geojson_points,
     "wkt_points": _wkt_points,
@@ -95,6 +116,9 @@ QUERIES = {
 }
 
 _SIDES = ("(70 - 10) * (y - 2) - (x - 10) * (5 - 2) > 0", "(40 - 70) * (y - 5) - (x - 70) * (33 - 5) > 0", "(10 - 40) * (y - 33) - (x - 40) * (2 - 33) > 0")
+# A square of side 6 and the box 10 5 40 20.
+_INNER, _MEETS = "x < 40 AND x + 6 > 10 AND y < 20 AND y + 6 > 5", "x <= 40 AND x + 6 >= 10 AND y <= 20 AND y + 6 >= 5"
+_WITHIN = "x >= 10 AND x + 6 <= 40 AND y >= 5 AND y + 6 <= 20"
 _OPS = "(SELECT DISTINCT op_id, new_geometry AS g FROM edit_operations)"
 SQL = {
     "spatial_envelope": f"SELECT * FROM ({_POINTS}) WHERE x BETWEEN 10 AND 40 AND y BETWEEN 5 AND 20",
@@ -102,6 +126,12 @@ SQL = {
     "spatial_envelope_disjoint": f"SELECT * FROM ({_POINTS}) WHERE NOT (x BETWEEN 10 AND 40 AND y BETWEEN 5 AND 20)",
     "spatial_within_polygon": f"SELECT * FROM ({_POINTS}) WHERE {' AND '.join(_SIDES)}",
     "spatial_distance": f"SELECT objectid, x, y, round(sqrt((x - 50) * (x - 50) + (y - 18) * (y - 18)), 6) AS distance FROM ({_POINTS}) WHERE (x - 50) * (x - 50) + (y - 18) * (y - 18) <= 25",
+    "spatial_contains": f"SELECT * FROM ({_POINTS}) WHERE x < 50 AND x + 6 > 50 AND y < 18 AND y + 6 > 18",
+    "spatial_overlaps": f"SELECT * FROM ({_POINTS}) WHERE {_INNER} AND NOT ({_WITHIN})",
+    "spatial_crosses": f"SELECT * FROM ({_POINTS}) WHERE y > 5 AND y < 20 AND x < 40 AND x + 6 > 10 AND NOT (x >= 10 AND x + 6 <= 40)",
+    "spatial_touches_squares": f"SELECT * FROM ({_POINTS}) WHERE {_MEETS} AND NOT ({_INNER})",
+    "spatial_within_squares": f"SELECT * FROM ({_POINTS}) WHERE {_WITHIN}",
+    "spatial_intersects_squares": f"SELECT * FROM ({_POINTS}) WHERE {_MEETS}",
     "spatial_line_within": rf"""WITH l AS (SELECT op_id, list_transform(regexp_extract_all(g, '-?[0-9.]+'), lambda v: CAST(v AS DOUBLE)) AS n FROM {_OPS} WHERE g LIKE 'LINESTRING%')
 SELECT op_id FROM l WHERE list_min(n) >= 0 AND list_max(n) <= 30000""",
     "geojson_points": rf"""SELECT op_id, CAST(g ->> '$.coordinates[0]' AS DOUBLE) AS x, CAST(g ->> '$.coordinates[1]' AS DOUBLE) AS y FROM {_OPS}
