@@ -9,7 +9,7 @@ from verdigris.functions.geometry import Geometry, checked_wkt, is_valid, read_g
 from verdigris.functions.pointtext import read_attribute_point, read_point
 from verdigris.functions.relate import Located, distance, relate_points, relation
 from verdigris.functions.rings import SweptPoints, read_edges
-from verdigris.functions.shapebinary import Grid, absolute, difference, find_plain_shape, read_shape, read_shape_geometry, read_varints, write_varints
+from verdigris.functions.shapebinary import Grid, absolute, difference, find_plain_shape, read_shape, read_shape_geometry, read_varints
 
 SAMPLES = [
     "POINT(1 2)",
@@ -163,6 +163,18 @@ def test_distances():
     assert gap("POINT EMPTY", SQUARE) == math.inf
 
 
+def write_varints(values) -> bytes:
+    """The inverse of read_varints."""
+    out = bytearray()
+    for v in values:
+        while True:
+            out.append((v & 0x7F) | (0x80 if v > 0x7F else 0))
+            v >>= 7
+            if not v:
+                break
+    return bytes(out)
+
+
 def encode(pairs, restart=()):
     """Coordinate stream of grid steps: absolute at the start and at `restart`, else differences."""
     out, last = [], None

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import struct
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
-from verdigris.functions.curves import ARC, BEZIER, ELLIPSE, Curve
+from verdigris.functions.curves import ARC, BEZIER, ELLIPSE, Curve, Densify, densify_rings
 from verdigris.functions.geometry import Geometry
 
 # Fixed values of the format.
@@ -20,6 +20,8 @@ _PLAIN_CURVED_TYPES = (50, 51)
 _SEGMENT_BYTES = {ARC: 20, BEZIER: 32, ELLIPSE: 44}
 _IS_LINE, _IS_POINT = 0x20, 0x40
 _POINT_ENTITY, _LINE_ENTITIES = 1, (2, 6, 7)
+#: Of the plain buffer: its envelope and counts end here, and no shape has more parts, fewer or more points.
+_PLAIN_HEADER, _MOST_PARTS, _LEAST_POINTS, _MOST_POINTS, _KIND_BYTES = 44, 1000, 3, 1_000_000, 0x00FFFF00
 #: How far a ring's start may lie outside of the envelope.
 _SLACK = 0.01
 
@@ -96,14 +98,14 @@ def decode_rings(data: bytes, n_points: int, multipart: bool, envelope, grid: Gr
 
 def find_plain_shape(data: bytes, envelope) -> int:
     """Offset of the plain buffer whose envelope is the row's within one unit, or -1."""
-    for at in range(len(data) - 43):
+    for at in range(len(data) - _PLAIN_HEADER + 1):
         (kind,) = struct.unpack_from("<I", data, at)
-        if kind & 0xFF not in _BASIC_TYPES or kind & 0x00FFFF00:
+        if kind & 0xFF not in _BASIC_TYPES or kind & _KIND_BYTES:
             continue
         box, (parts, points) = struct.unpack_from("<4d", data, at + 4), struct.unpack_from("<2i", data, at + 36)
         if not (np.isfinite(box).all() and box[0] <= box[2] and box[1] <= box[3] and all(abs(a - b) <= 1 for a, b in zip(box, envelope))):
             continue
-        if 1 <= parts <= 1000 and 3 <= points <= 1_000_000 and at + 44 + 4 * parts + 16 * points <= len(data):
+        if 1 <= parts <= _MOST_PARTS and _LEAST_POINTS <= points <= _MOST_POINTS and at + _PLAIN_HEADER + 4 * parts + 16 * points <= len(data):
             return at
     return -1
 
@@ -112,7 +114,7 @@ def read_plain_shape(data: bytes, at: int) -> Shape:
     """Rings of source points and their curved segments. An unknown kind of segment ends the list of curves."""
     (kind,) = struct.unpack_from("<I", data, at)
     parts, points = struct.unpack_from("<2i", data, at + 36)
-    at += 44
+    at += _PLAIN_HEADER
     firsts = list(struct.unpack_from(f"<{parts}i", data, at))
     at += 4 * parts
     xy = np.frombuffer(data, dtype="<f8", count=2 * points, offset=at).reshape(-1, 2)
@@ -162,11 +164,16 @@ def read_shape(data: bytes | None, n_points: int, grid: Grid, envelope=None, ent
     return Shape(rings, error=None if rings else "no rings")
 
 
-def read_shape_geometry(data: bytes | None, n_points: int, entity: int, grid: Grid, envelope=None) -> Geometry | None:
-    """A compressed shape as a geometry: entity 1 a point, 2, 6 and 7 lines, others polygons, each ring of a multipart shape an own polygon."""
+def read_shape_geometry(data: bytes | None, n_points: int, entity: int, grid: Grid, envelope=None, densify: Densify | None = None) -> Geometry | None:
+    """A compressed shape as a geometry: entity 1 a point, 2, 6 and 7 lines, others polygons, each ring of a multipart shape an own polygon.
+
+    With `densify` the curved segments become points, else only their source points are taken.
+    """
     shape = read_shape(data, n_points, grid, envelope, entity)
     if shape.error or not shape.rings:
         return None
+    if densify is not None and shape.curves:
+        shape = replace(shape, rings=densify_rings(shape.rings, list(shape.curves), densify))
     many = len(shape.rings) > 1 or bool(entity & _MULTIPART)
     if entity == _POINT_ENTITY:
         return Geometry("Point", shape.rings[0][0], srid=grid.srid) if shape.rings[0] else None
@@ -174,14 +181,3 @@ def read_shape_geometry(data: bytes | None, n_points: int, entity: int, grid: Gr
         return Geometry("MultiLineString", shape.rings, srid=grid.srid) if many else Geometry("LineString", shape.rings[0], srid=grid.srid)
     return Geometry("MultiPolygon", [[r] for r in shape.rings], srid=grid.srid) if many else Geometry("Polygon", [shape.rings[0]], srid=grid.srid)
 
-
-def write_varints(values) -> bytes:
-    """The inverse of read_varints, for fixtures."""
-    out = bytearray()
-    for v in values:
-        while True:
-            out.append((v & 0x7F) | (0x80 if v > 0x7F else 0))
-            v >>= 7
-            if not v:
-                break
-    return bytes(out)

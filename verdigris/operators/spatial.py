@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdigris.functions.curves import Densify
 from verdigris.functions.geometry import Geometry, is_valid, read_geojson, read_query_geometry, read_wkb, read_wkt, to_geojson, write_wkb, write_wkt
 from verdigris.functions.relate import RELATIONS, Located, distance, relate_points, relation
+from verdigris.functions.shapebinary import Grid, read_shape_geometry
 
 
 def geometry_column(wkb: Column, srid: Column | None = None) -> Column:
@@ -149,3 +151,20 @@ def converted_geometry(text: pd.Series) -> pd.DataFrame:
         g = read_geometry_text(value)
         rows.append((None,) * 5 if g is None else (g.type, write_wkt(g), json.dumps(to_geojson(g)), write_wkb(g), is_valid(g)))
     return pd.DataFrame(rows, columns=_TEXT_GEOMETRY.names)
+
+
+def shape_wkb(grid: Grid, densify: Densify = Densify()):
+    """A function of columns (compressed shape, number of points, entity, xmin, ymin, xmax, ymax) to WKB; null for shapes that cannot be read. Curved
+    shapes need their envelope, and their segments become points.
+    """
+
+    @F.pandas_udf(T.BinaryType())
+    def decode(data: pd.Series, n_points: pd.Series, entity: pd.Series, xmin: pd.Series, ymin: pd.Series, xmax: pd.Series, ymax: pd.Series) -> pd.Series:
+        out = []
+        for d, n, e, *box in zip(data, n_points.fillna(0), entity.fillna(0), xmin, ymin, xmax, ymax):
+            envelope = tuple(box) if all(v is not None and v == v for v in box) else None
+            g = read_shape_geometry(d, int(n), int(e), grid, envelope, densify)
+            out.append(write_wkb(g) if g is not None else None)
+        return pd.Series(out, dtype=object)
+
+    return decode

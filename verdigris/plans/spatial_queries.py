@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.operators.spatial import converted_geometry, geometry_column, spatial_filter
+from verdigris.functions.shapebinary import Grid
+from verdigris.operators.spatial import converted_geometry, geometry_column, shape_wkb, spatial_filter
 from verdigris.session import table
 from verdigris.sources.catalog import list_tables
 
@@ -83,6 +84,31 @@ def _related(text: str, geometry, relationship: str):
     return run
 
 
+def _varint(value: Column) -> Column:
+    """A number below two to the 21st in the shape's variable length, as hex."""
+    parts = [F.shiftrightunsigned(value, 7 * i).bitwiseAND(F.lit(127)) for i in range(3)]
+    more = [value >= (1 << 7), value >= (1 << 14)]
+    first, second = (F.lpad(F.hex(p + F.when(m, 128).otherwise(0)), 2, "0") for p, m in zip(parts, more))
+    return F.concat(first, F.when(more[0], second).otherwise(F.lit("")), F.when(more[1], F.lpad(F.hex(parts[2]), 2, "0")).otherwise(F.lit("")))
+
+
+def _placed(value: Column) -> Column:
+    """A grid coordinate as it is stored: bit 5 and all above are moved up by one."""
+    return F.shiftleft(F.shiftright(value, 5), 6).bitwiseOR(value.bitwiseAND(F.lit(31)))
+
+
+def _shape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of two points, written as compressed shapes from the customers' keys and read again."""
+    key = F.col("c_custkey").cast("int")
+    start, step = [key * 7 % 100_000, key % 1000], [key % 32, key % 31]
+    stream = F.concat(*[_varint(_placed(v)) for v in start], *[_varint(v + 64) for v in step])
+    none = F.lit(None).cast("double")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("objectid"), F.unhex(F.concat(F.lit("00" * 8), stream)).alias("data"))
+    wkb = shape_wkb(Grid(1000.0, 2000.0, 10.0))("data", F.lit(2), F.lit(2), none, none, none, none)
+    shaped = rows.withColumn("shape", geometry_column(wkb))
+    return shaped.select("objectid", *[F.round(F.col(f"shape.{c}"), 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog, from items, types and registry cut out of table_info."""
     info = table(spark, sf_dir, "table_info")
@@ -107,6 +133,7 @@ QUERIES = {
     "spatial_touches_squares": _related(_SQUARE, {"envelope": [10, 5, 40, 20]}, "touches"),
     "spatial_within_squares": _related(_SQUARE, {"envelope": [10, 5, 40, 20]}, "within"),
     "spatial_intersects_squares": _related(_SQUARE, {"envelope": [10, 5, 40, 20]}, "intersects"),
+    "shape_lines": _shape_lines,
     "spatial_line_within": _polygon_texts,
     "geojson_points": _geojson_points,
     "wkt_points": _wkt_points,
@@ -132,6 +159,8 @@ SQL = {
     "spatial_touches_squares": f"SELECT * FROM ({_POINTS}) WHERE {_MEETS} AND NOT ({_INNER})",
     "spatial_within_squares": f"SELECT * FROM ({_POINTS}) WHERE {_WITHIN}",
     "spatial_intersects_squares": f"SELECT * FROM ({_POINTS}) WHERE {_MEETS}",
+    "shape_lines": """SELECT c_custkey AS objectid, round(x / 10 + 1000, 6) AS xmin, round(y / 10 + 2000, 6) AS ymin, round((x + c_custkey % 32) / 10 + 1000, 6) AS xmax,
+  round((y + c_custkey % 31) / 10 + 2000, 6) AS ymax FROM (SELECT *, c_custkey * 7 % 100000 AS x, c_custkey % 1000 AS y FROM customer)""",
     "spatial_line_within": rf"""WITH l AS (SELECT op_id, list_transform(regexp_extract_all(g, '-?[0-9.]+'), lambda v: CAST(v AS DOUBLE)) AS n FROM {_OPS} WHERE g LIKE 'LINESTRING%')
 SELECT op_id FROM l WHERE list_min(n) >= 0 AND list_max(n) <= 30000""",
     "geojson_points": rf"""SELECT op_id, CAST(g ->> '$.coordinates[0]' AS DOUBLE) AS x, CAST(g ->> '$.coordinates[1]' AS DOUBLE) AS y FROM {_OPS}
