@@ -9,6 +9,7 @@ from verdigris.operators.compaction import CompactionRefused
 from verdigris.operators.fabric import FeatureTable
 from verdigris.operators.merging import ConcurrentChangeError, NotReconciledError, OpenSessionError, ReconcileOptions
 from verdigris.sources.editing import SessionClosedError
+from verdigris.sources.enterprise import is_transient, retried_once
 from verdigris.sources.geodatabase import QueryOptions, create_geodatabase, jdbc_table, open_geodatabase, parse_connection_string
 from verdigris.sources.store import LockTimeoutError, ReadWriteLock, SnapshotMovedError, file_lock, stale_locks
 
@@ -275,3 +276,46 @@ def test_connection_strings(spark):
         parse_connection_string("oracle://h/d")
     with pytest.raises(Exception, match="(?i)driver|class"):
         jdbc_table(spark, config, "t")
+
+
+def test_a_database_server(spark):
+    """The server's fabric over JDBC, with the database that comes with Spark in place of a server."""
+    url = "jdbc:derby:memory:fabric;create=true"
+    spark._jvm.java.lang.Class.forName("org.apache.derby.jdbc.EmbeddedDriver")
+    statement = spark._jvm.java.sql.DriverManager.getConnection(url).createStatement()
+    for text in (
+        "create schema sde", "create schema cad",
+        "create table sde.sde_states (state_id bigint, parent_state_id bigint, lineage_name bigint)", "insert into sde.sde_states values (0, 0, 0), (1, 0, 1), (2, 1, 2)",
+        "create table sde.sde_state_lineages (lineage_name bigint, lineage_id bigint)", "insert into sde.sde_state_lineages values (0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2)",
+        "create table sde.sde_versions (owner varchar(9), name varchar(9), parent_name varchar(20), state_id bigint)",
+        "insert into sde.sde_versions values ('sde', 'DEFAULT', null, 1), ('sde', 'v', 'sde.DEFAULT', 2)",
+        "create table sde.sde_state_locks (sde_id int, state_id bigint, lock_time timestamp)",
+        "create table sde.sde_table_registry (registration_id int, owner varchar(9), table_name varchar(9), object_flags int)", "insert into sde.sde_table_registry values (7, 'cad', 'lots', 8), (8, 'cad', 'notes', 1)",
+        "create table cad.lots (objectid bigint, val varchar(9))", "insert into cad.lots values (1, 'a'), (2, 'b')",
+        "create table cad.a7 (objectid bigint, sde_state_id bigint, val varchar(9))", "insert into cad.a7 values (3, 1, 'c'), (1, 2, 'A')",
+        "create table cad.d7 (sde_deletes_row_id bigint, sde_state_id bigint, deleted_at bigint)", "insert into cad.d7 values (1, 2, 2), (2, 2, 2)",
+    ):
+        statement.execute(text)
+    server = open_geodatabase(spark, {"type": "enterprise", "driver": "derby", "url": url, "source": "derby://fabric"})
+    assert server.list_tables() == ["lots"] and [v["name"] for v in server.list_versions()] == ["DEFAULT", "v"]
+    read = lambda version: {r.objectid: r.val for r in server.open_table("LOTS").query(QueryOptions(version=version)).collect()}
+    assert read(None) == {1: "a", 2: "b"} and read("DEFAULT") == {1: "a", 2: "b", 3: "c"} and read("v") == {1: "A", 3: "c"}
+    assert server.lineage("sde.v") == [2, 1] and [(r.n_adds, r.n_deletes) for r in server.version_statistics("v")] == [(2, 2)]
+    for write in (lambda: server.create_version("x"), lambda: server.edit(), lambda: server.compact(), lambda: server.reconcile_version("v"), lambda: server.open_table("lots").delete(1)):
+        with pytest.raises(PermissionError):
+            write()
+
+
+def test_transient_faults():
+    calls = []
+
+    def read(message):
+        calls.append(message)
+        raise RuntimeError(message)
+
+    assert is_transient(RuntimeError("Connection reset by peer")) and not is_transient(RuntimeError("syntax error near FROM"))
+    for message, tries in (("deadlock detected", 2), ("no such table", 1)):
+        calls.clear()
+        with pytest.raises(RuntimeError):
+            retried_once(lambda m=message: read(m), 0)
+        assert len(calls) == tries

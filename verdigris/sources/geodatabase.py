@@ -16,6 +16,7 @@ from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, VersionNotFou
 from verdigris.operators.spatial import spatial_filter
 from verdigris.sources.catalog import to_feature
 from verdigris.sources.editing import NOT_WRITABLE, EditSession, ReadOnlyError
+from verdigris.sources.enterprise import read_fabric
 from verdigris.sources.store import LockTimeoutError, Snapshot, SnapshotMovedError, SnapshotStore
 
 log = logging.getLogger("verdigris")
@@ -46,8 +47,8 @@ def parse_connection_string(uri: str) -> dict:
 
 def jdbc_table(spark: SparkSession, config: dict, name: str, key: str = "objectid", partitions: int = 1, bounds: tuple[int, int] | None = None, fetch_size: int = 100) -> DataFrame:
     """A table of a database server, read in `partitions` ranges of `key`. The server's driver must be on the class path."""
-    url = {"sqlserver": "jdbc:sqlserver://{server}:{port};databaseName={database}", "postgresql": "jdbc:postgresql://{server}:{port}/{database}"}[config["driver"]]
-    reader = spark.read.format("jdbc").option("url", url.format(**config)).option("dbtable", name).option("fetchsize", fetch_size)
+    urls = {"sqlserver": "jdbc:sqlserver://{server}:{port};databaseName={database}", "postgresql": "jdbc:postgresql://{server}:{port}/{database}"}
+    reader = spark.read.format("jdbc").option("url", config.get("url") or urls[config["driver"]].format(**config)).option("dbtable", name).option("fetchsize", fetch_size)
     for option in ("user", "password"):
         if config.get(option):
             reader = reader.option(option, config[option])
@@ -415,12 +416,34 @@ class Geodatabase:
         self._current = None
 
 
-def open_geodatabase(spark: SparkSession, uri: str) -> Geodatabase:
-    """A store of snapshots by its path. Database servers are read table by table with jdbc_table."""
-    config = parse_connection_string(uri)
-    if config["type"] != "file":
-        raise NotImplementedError("database servers are read with jdbc_table")
-    return Geodatabase(spark, config["path"])
+class EnterpriseGeodatabase(Geodatabase):
+    """The fabric of a database server, for reading: versions, changes and conflicts are found here, writing is the server's."""
+
+    def __init__(self, spark: SparkSession, config: dict, schema: str = "sde", only: list[str] | None = None):
+        self.spark, self.source = spark, config["source"]
+        self._config, self._schema, self._only = config, schema, only
+        self._tables, self._staged, self._current = {}, None, None
+        self.current_version, self.editing = DEFAULT, False
+        self.snapshot  # noqa: B018  a server that cannot be read fails here
+
+    @property
+    def snapshot(self) -> Snapshot:
+        if self._current is None:
+            self._current = Snapshot(0, read_fabric(self.spark, self._config, jdbc_table, self._schema, self._only), (0, 0, 0))
+        return self._current
+
+    def _read_only(self, *_, **__):
+        raise ReadOnlyError(self.source)
+
+    _commit = _merged = edit = edit_transaction = compact = transaction = _read_only
+
+
+def open_geodatabase(spark: SparkSession, uri: str | dict) -> Geodatabase:
+    """A store of snapshots by its path, or, by its uri, a database server for reading; also by a config as parse_connection_string gives it, in which
+    `url` may be any JDBC address.
+    """
+    config = parse_connection_string(uri) if isinstance(uri, str) else uri
+    return Geodatabase(spark, config["path"]) if config["type"] == "file" else EnterpriseGeodatabase(spark, config)
 
 
 def create_geodatabase(spark: SparkSession, folder: str, tables: dict[str, FeatureTable] | None = None) -> Geodatabase:
