@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verdigris.operators import changes, compaction, merging, versioned
 from verdigris.operators.fabric import ROOT, Fabric, FeatureTable, VersionNotFoundError, append_rows, state_set
 from verdigris.operators.spatial import spatial_filter
-from verdigris.sources.catalog import to_feature
+from verdigris.sources.catalog import list_versions, to_feature
 from verdigris.sources.editing import NOT_WRITABLE, EditSession, ReadOnlyError
 from verdigris.sources.enterprise import read_fabric
 from verdigris.sources.store import LockTimeoutError, Snapshot, SnapshotMovedError, SnapshotStore
@@ -279,8 +279,9 @@ class Geodatabase:
         versioned.read_version(self.fabric, table, version).createOrReplaceTempView(view)
         return view
 
-    def list_versions(self) -> list:
-        return self.fabric.versions.orderBy("name").collect()
+    def list_versions(self, server_time_zone: str | None = None) -> list:
+        """The versions by name; times of a server's zone become UTC."""
+        return list_versions(self.fabric.versions, server_time_zone).collect()
 
     def get_version(self, name: str):
         return self.fabric.find_version(name)
